@@ -53,11 +53,11 @@ filled AS (
          sum(weight) OVER (ORDER BY level, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight
   FROM live),
 feasible AS (SELECT * FROM filled WHERE (budget - clamped) * weight <= size * {mixing.MAX_EPOCHS} * left_weight),
-at AS (SELECT level AS l, source AS s, greatest(budget - clamped, 0) AS rest, left_weight AS w FROM feasible ORDER BY level, source LIMIT 1),
+knee AS (SELECT level AS l, source AS s, greatest(budget - clamped, 0) AS rest, left_weight AS w FROM feasible ORDER BY level, source LIMIT 1),
 rates AS (
-  SELECT f.source, least(CASE WHEN f.level > at.l OR (f.level = at.l AND f.source >= at.s)
-    THEN (at.rest * f.weight * {mixing.UNIT}) // (f.size * at.w) ELSE {mixing.MAX_EPOCHS * mixing.UNIT} END, {mixing.MAX_EPOCHS * mixing.UNIT})::BIGINT AS rate
-  FROM filled f LEFT JOIN at ON true),
+  SELECT f.source, least(CASE WHEN f.level > knee.l OR (f.level = knee.l AND f.source >= knee.s)
+    THEN (knee.rest * f.weight * {mixing.UNIT}) // (f.size * knee.w) ELSE {mixing.MAX_EPOCHS * mixing.UNIT} END, {mixing.MAX_EPOCHS * mixing.UNIT})::BIGINT AS rate
+  FROM filled f LEFT JOIN knee ON true),
 drawn AS (
   SELECT d.*, (r.rate // {mixing.UNIT} + CASE WHEN ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT % {mixing.UNIT} < r.rate % {mixing.UNIT}
     THEN 1 ELSE 0 END)::INTEGER AS n
