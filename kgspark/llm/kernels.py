@@ -36,6 +36,8 @@ GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 GRAM_INV = np.uint64(pow(int(GRAM), -1, 2**64))
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[9, 11, 12, 13, 32]] = True
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -121,6 +123,32 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
 
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every line of every row; the line feed belongs to none. Empty rows have none."""
+    n = len(data)
+    start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    start = start[start < n]
+    end = np.append(start[1:], n)
+    return start, end - (data[np.maximum(end - 1, 0)] == 10)
+
+
+def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without blanks (tab, VT, FF, CR, space) at either end; blank spans become empty."""
+    seen = np.flatnonzero(~_IS_BLANK[data])
+    lo, hi = np.searchsorted(seen, start), np.searchsorted(seen, end)
+    some = hi > lo
+    first, last = np.where(some, seen[np.minimum(lo, max(0, len(seen) - 1))] if len(seen) else start, start), start
+    if len(seen):
+        last = np.where(some, seen[np.maximum(hi - 1, 0)] + 1, start)
+    return first, last
+
+
+def split_blanks(texts: pa.Array) -> Words:
+    """Runs of bytes between blanks and line feeds, as they stand."""
+    data, offsets = buffers(pc.fill_null(texts, ""))
+    return _runs(data, offsets, ~(_IS_BLANK[data] | (data == 10)))
+
+
 def split_words(texts: pa.Array, folded: bool = False) -> Words:
     data, offsets = buffers(texts if folded else fold_array(texts))
     n = len(data)
@@ -132,6 +160,11 @@ def split_words(texts: pa.Array, folded: bool = False) -> Words:
         for at, width in ((two, 2), (three, 3), (cjk, 3)):
             for k in range(width):
                 inside[at + k] = False
+    return _runs(data, offsets, inside)
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -57,13 +57,7 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = texts.fill_null("")
     data, off = K.buffers(texts)
     n = len(data)
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    breaks = np.flatnonzero(data == 10)
-    start = np.unique(np.concatenate([off[:-1], breaks + 1]))
-    start = start[start < n]
-    end = np.minimum(np.append(start[1:], n), n)
-    end = end - ((end > start) & (data[np.maximum(end - 1, 0)] == 10))
+    start, end = K.line_spans(data, off)
     word = K.split_words(texts)
     if len(word.data) != n:  # folding keeps byte positions
         raise AssertionError("folding moved bytes")

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import decontaminate, line_crf, mixing, sharding, simhash
+from kgspark.llm import decontaminate, html_extract, language_id, line_crf, line_dedup, mixing, sharding, simhash, subword_classifier, suffix_dedup
 from kgspark.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,12 +36,24 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op5_line_crf_quality, op6_simhash_trie, op7_jump_sharding, op9_mixing)}
+    found = (
+        op1_html_extraction, op2_decontamination, op3_language_id, op4_line_dedup, op5_line_crf_quality,
+        op6_simhash_trie, op7_jump_sharding, op8_subword_classifier, op9_mixing, op10_suffix_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP7_SQL = f"""
@@ -65,4 +89,16 @@ drawn AS (
 SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS "copy" FROM drawn WHERE n > 0
 """
 
-ORACLE_SQL = {"op7_jump_sharding": OP7_SQL, "op9_mixing": OP9_SQL}
+OP4_SQL = f"""
+WITH rows_ AS (SELECT *, row_number() OVER () AS rid FROM documents),
+pieces AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM rows_),
+keyed AS (SELECT *, trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS key FROM pieces),
+counted AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM keyed),
+kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY at) FILTER (WHERE key = '' OR n <= {line_dedup.MAX_COUNT}) AS text,
+                count(*) FILTER (WHERE key <> '' AND n > {line_dedup.MAX_COUNT}) AS lost FROM counted GROUP BY rid)
+SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, r.lang, r.source, r.n_chars,
+       coalesce(k.lost, 0)::INTEGER AS removed_lines
+FROM rows_ r LEFT JOIN kept k USING (rid)
+"""
+
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_jump_sharding": OP7_SQL, "op9_mixing": OP9_SQL}
