@@ -21,6 +21,8 @@ SHARD_KEYS = 1 << 16
 #: Arrays of up to so many bytes are broadcast; beyond, each shard's probes are sent to it.
 MAX_BROADCAST_BYTES = 64 << 20
 GAMMA = 1.5
+#: Parts that the probes of one shard are divided into when they are sent to it.
+SALTS = 8
 
 SHARDS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("bits", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
@@ -214,14 +216,25 @@ def _routed(docs: DataFrame, shards: DataFrame, n_shards: int, max_count: int, t
 
     probes = keyed.select(F.col(digest).alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(emit, "shard int, d string, key long")
 
-    def answer(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = {r["shard"]: load(r) for b in right for r in b.to_pylist()}
-        for batch in left:
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            many = _too_many(keys, arrays, n_shards, max_count)
-            yield batch.select(["d", "key"]).filter(pa.array(many))
-
-    found = probes.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "d string, key long")
+    blob = [c for c in SHARDS.names if c != "shard"]
+    asked = probes.withColumn("salt", F.pmod(F.hash("d"), F.lit(SALTS))).select("shard", "salt", F.lit(1).alias("kind"), "d", "key", *[F.lit(None).cast(SHARDS[c].dataType).alias(c) for c in blob])
+    held = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("d"), F.lit(None).cast("long").alias("key"), *blob)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays: dict[int, Shard] = {}
+        for batch in batches:
+            kind, shard = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
+            cuts = [0, *np.flatnonzero(kind == 0).tolist(), len(kind)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi and kind[lo] == 0:
+                    row = {c: batch.column(c)[lo].as_py() for c in SHARDS.names}
+                    arrays, lo = {int(shard[lo]): load(row)}, lo + 1
+                if lo < hi:
+                    part = batch.slice(lo, hi - lo).select(["d", "key"])
+                    yield part.filter(pa.array(_too_many(part.column("key").to_numpy().view(np.uint64), arrays, n_shards, max_count)))
+
+    # a shard comes before its probes; only one is held at a time, and a frequent line's probes are salted
+    found = held.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, "d string, key long")
     per_text = found.groupBy("d").agg(F.collect_set("key").alias(bad)).withColumnRenamed("d", digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
