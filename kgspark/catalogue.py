@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgspark.plans import search
+
 Query = Callable[[SparkSession, str], DataFrame]
+AREAS: tuple[ModuleType, ...] = (search,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for area in AREAS for f in area.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in AREAS for name, sql in area.ORACLES.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,12 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: an expression named twice is else computed twice,
+    and once for each element if a lambda names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def absent(c: Column | str) -> Column:
     """NULL for blank strings; the literal 'null' stays what it is."""
     c = F.col(c) if isinstance(c, str) else c
@@ -108,12 +114,12 @@ def is_in(c: Column, words: Iterable[str]) -> Column:
 
 def strip_edges(phrase: Column, words: Iterable[str]) -> Column:
     """The phrase without function words at either end, single blanks between its words."""
-    parts = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
-    kept = F.filter(
-        F.transform(parts, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~is_in(F.lower(x["w"]), words)
-    )
-    lo, hi = F.array_min(F.transform(kept, lambda x: x["i"])), F.array_max(F.transform(kept, lambda x: x["i"]))
-    return F.when(F.size(kept) > 0, F.array_join(F.slice(parts, lo + 1, hi - lo + 1), " ")).otherwise(F.lit(""))
+
+    def cut(parts: Column) -> Column:
+        kept = F.filter(F.transform(parts, lambda w, i: F.when(~is_in(F.lower(w), words), i)), lambda i: i.isNotNull())
+        return bind(kept, lambda k: F.when(F.size(k) > 0, F.array_join(F.slice(parts, k[0] + 1, F.element_at(k, -1) - k[0] + 1), " ")).otherwise(F.lit("")))
+
+    return bind(F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != ""), cut)
 
 
 QUOTED = "[‘'\"“„«‹]([^’'\"”“»›]{2,60})[’'\"”“»›]"
@@ -134,18 +140,15 @@ def candidate_terms(c: Column) -> Column:
     phrases = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(CAPS), F.lit(1)), lambda x: strip_edges(x, words)), lambda x: F.instr(x, " ") > 0)
     caps = F.transform(phrases, slug)
     fine = lambda x: (x != "") & ~is_in(x, words) & ~is_glob(x)
-    first = F.array_distinct(F.filter(quoted, fine))
-    rest = F.array_except(F.filter(caps, fine), first)
     flag = lambda value: lambda x: F.struct(x.alias("term"), F.lit(value).alias("quoted"))
-    return F.concat(F.transform(first, flag(True)), F.transform(rest, flag(False)))
+    return bind(F.array_distinct(F.filter(quoted, fine)), lambda first: F.concat(F.transform(first, flag(True)), F.transform(F.array_except(F.filter(caps, fine), first), flag(False))))
 
 
 def longest(c: Column, descending_ties: bool = False) -> Column:
     """The longest string of an array; of equals the least (or greatest)."""
-    keyed = F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
-    top = F.array_max(F.transform(c, F.length))
-    best = F.transform(F.filter(keyed, lambda s: s["n"] == top), lambda s: s["x"])
-    return F.array_max(best) if descending_ties else F.array_min(best)
+    if descending_ties:
+        return F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return F.array_min(F.transform(c, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"]
 
 
 def key_term(c: Column) -> Column:
@@ -156,8 +159,8 @@ def key_term(c: Column) -> Column:
     phrases = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(CAPS), F.lit(1)), lambda x: strip_edges(x, words)), lambda x: F.instr(x, " ") > 0)
     caps = slug(longest(phrases, descending_ties=True))
     token = slug(longest(F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit(CONTENT), F.lit(0)), lambda x: ~is_in(x, words))))
-    usable = lambda x: F.when((x != "") & ~is_in(x, words), x)
-    return F.coalesce(usable(quoted), F.when(F.size(phrases) > 0, usable(caps)), token, F.lit(""))
+    usable = lambda x: bind(x, lambda v: F.when((v != "") & ~is_in(v, words), v))
+    return F.coalesce(usable(quoted), usable(caps), token, F.lit(""))
 
 
 def quantification(sentence: Column, profile: profiles.Profile) -> Column:
@@ -202,13 +205,14 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; a zero vector's norm counts as 1."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda x: F.coalesce(F.nullif(F.sqrt(dot(x, x)), F.lit(0.0)), F.lit(1.0))
-    return dot(a, b) / (norm(a) * norm(b))
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda v: dot(v["a"], v["b"]) / (norm(v["a"]) * norm(v["b"])))
 
 
 def hashing_embedding(c: Column, dim: int = 64) -> Column:
     """Token counts by SHA-1 modulo a power of two up to 256."""
     slots = F.transform(tokenize(c), lambda t: F.pmod(F.conv(F.substring(F.sha1(t), 39, 2), 16, 10).cast("int"), F.lit(dim)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    count = lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(all_, lambda s: s == i)).cast("double"))
+    return bind(slots, count)
 
 
 def norm_path(c: Column) -> Column:
