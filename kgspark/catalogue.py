@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.plans import search
+from kgspark.plans import knowledge, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS: tuple[ModuleType, ...] = (search,)
+AREAS: tuple[ModuleType, ...] = (search, knowledge)
 
 
 def queries() -> dict[str, Query]:

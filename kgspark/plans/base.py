@@ -32,8 +32,14 @@ LOOK = r"(^|[^\p{{L}}\p{{N}}_]){}($|[^\p{{L}}\p{{N}}_])"
 
 def _markers() -> str:
     p = profiles.get(PROFILE)
-    rows = [f"({m.ord}, '{m.pattern}', '{LOOK.format(m.pattern.lower())}', '{m.predicate}', '{m.modality}', '{'N' if m.modality in p.normative else 'D'}', '{p.dimension_for(m.predicate)}')" for m in p.markers]
-    return "(VALUES " + ", ".join(rows) + ") AS m(ord, marker, rx, predicate, modality, polarity, dimension)"
+    rows = [f"({m.ord}, '{m.pattern}', '{m.predicate}', '{m.modality}', '{'N' if m.modality in p.normative else 'D'}', '{p.dimension_for(m.predicate)}')" for m in p.markers]
+    return "(VALUES " + ", ".join(rows) + ") AS m(ord, marker, predicate, modality, polarity, dimension)"
+
+
+def _seen() -> str:
+    """Markers of a sentence as a list; constant patterns compile once."""
+    hits = [f"CASE WHEN regexp_matches(lb, '{LOOK.format(m.pattern.lower())}') THEN {m.ord} END" for m in profiles.get(PROFILE).markers]
+    return "[" + ", ".join(hits) + "]"
 
 
 def _quant(c: str) -> str:
@@ -48,7 +54,8 @@ unit_ AS (SELECT doc_id, lang, source, {STRIP.format("text")} AS t FROM document
 piece_ AS (SELECT doc_id, lang, source, unnest(string_split(t, '.')) AS b, generate_subscripts(string_split(t, '.'), 1) AS i, len(string_split(t, '.')) AS n FROM unit_),
 placed_ AS (SELECT *, coalesce(sum(length(b) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS s FROM piece_),
 sentence_ AS (SELECT *, (s + length(b) + CASE WHEN i < n THEN 1 ELSE 0 END)::INTEGER AS e, {STRIP.format("b || CASE WHEN i < n THEN '.' ELSE '' END")} AS sentence FROM placed_),
-hit_ AS (SELECT q.*, m.* FROM sentence_ q JOIN {_markers()} ON length(q.sentence) >= 8 AND regexp_matches(lower(q.b), m.rx)),
+seen_ AS (SELECT *, unnest({_seen()}) AS o FROM (SELECT *, lower(b) AS lb FROM sentence_ WHERE length(sentence) >= 8)),
+hit_ AS (SELECT q.*, m.* FROM seen_ q JOIN {_markers()} ON q.o = m.ord),
 first_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i, predicate ORDER BY ord) AS rn FROM hit_),
 claims AS (
   SELECT 'item-' || substr(sha1(doc_id::VARCHAR || '[' || s || ', ' || e || ']' || predicate), 1, 10) AS item_id, doc_id::VARCHAR AS doc, source AS source_urn, lang,
