@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.plans import knowledge, search
+from kgspark.plans import context, knowledge, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS: tuple[ModuleType, ...] = (search, knowledge)
+AREAS: tuple[ModuleType, ...] = (search, knowledge, context)
 
 
 def queries() -> dict[str, Query]:
