@@ -91,10 +91,10 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS "copy"
 
 OP4_SQL = f"""
 WITH rows_ AS (SELECT *, row_number() OVER () AS rid FROM documents),
-pieces AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM rows_),
+pieces AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows_),
 keyed AS (SELECT *, trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS key FROM pieces),
 counted AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM keyed),
-kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY at) FILTER (WHERE key = '' OR n <= {line_dedup.MAX_COUNT}) AS text,
+kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key = '' OR n <= {line_dedup.MAX_COUNT}) AS text,
                 count(*) FILTER (WHERE key <> '' AND n > {line_dedup.MAX_COUNT}) AS lost FROM counted GROUP BY rid)
 SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, r.lang, r.source, r.n_chars,
        coalesce(k.lost, 0)::INTEGER AS removed_lines

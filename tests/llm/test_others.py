@@ -218,8 +218,11 @@ def test_passages_equal_brute_force(spark, make_docs, rng):
     texts = [prose(rng, rng.randint(0, 200)) for _ in range(20)]
     texts += [prose(rng, rng.randint(0, 90)) + " " + rng.choice(shared).title() + ", " + prose(rng, 60) for _ in range(30)]
     texts += [texts[0], "to " * 400, "to " * 200, shared[2] + " " + shared[2], None, ""]
-    got = {tuple(r) for r in X.repeated_passages(make_docs(texts)).collect()}
-    assert got == brute_passages([(i, t) for i, t in enumerate(texts) if t], 50)
+    texts += [texts[21], "again " + shared[4] + " " + shared[4], "again " + shared[4] + " " + shared[4]]
+    want = brute_passages([(i, t) for i, t in enumerate(texts) if t], 50)
+    for limit in (64 << 20, 0):
+        got = [tuple(r) for r in X.repeated_passages(make_docs(texts), max_broadcast_bytes=limit).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_passage_edges(spark, make_docs, rng):
@@ -227,5 +230,8 @@ def test_passage_edges(spark, make_docs, rng):
     docs = make_docs([(1, t), (None, t), (2, None), (3, "")])
     assert X.repeated_passages(docs.union(docs)).count() == 0
     assert X.repeated_passages(docs.limit(0)).count() == 0
+    for texts in ([(1, t), (2, t), (2, t + " more")], [(1, t), (2, t + " x"), (2, "no " * 60)]):
+        rows = {tuple(r)[0] for r in X.repeated_passages(make_docs(texts)).collect()}
+        assert rows in (set(), {1, 2})
     two = make_docs([(1, t), (5, t), (5, t)]).withColumnRenamed("lang", "original")
     assert {tuple(r) for r in X.repeated_passages(two).collect()} == {(1, 0, 79, True), (5, 0, 79, False)}
