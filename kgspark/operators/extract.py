@@ -47,21 +47,24 @@ def _strip(c: Column) -> Column:
 def units_of(c: Column) -> Column:
     """Units of a text as an array: articles if there are three headings, else recitals if there are
     five, else paragraphs of 40 characters or more."""
-    c = X.text(c)
-    pieces, gaps = F.split(c, BREAK), F.regexp_extract_all(c, F.lit(BREAK), F.lit(0))
-    rows = F.zip_with(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), _starts(pieces, gaps), lambda p, s: F.struct(p["p"].alias("p"), p["i"].alias("i"), s.alias("s")))
-    paragraphs = F.transform(
-        F.filter(rows, lambda r: F.length(_strip(r["p"])) >= MIN_PARAGRAPH),
-        lambda r: F.struct(
-            F.concat(F.lit("para-"), r["i"]).alias("unit_id"), F.lit("paragraph").alias("unit_type"), r["s"].cast("int").alias("start"),
-            (r["s"] + F.length(r["p"])).cast("int").alias("end"), _strip(r["p"]).alias("text"),
-        ),
-    )
-    return (
-        F.when(F.regexp_count(c, F.lit(ARTICLE)) >= 3, _headed(c, ARTICLE, "article", "Article-"))
-        .when(F.regexp_count(c, F.lit(RECITAL)) >= 5, _headed(c, RECITAL, "recital", "Recital-"))
-        .otherwise(paragraphs)
-    )
+    def paragraphs(pieces: Column, gaps: Column) -> Column:
+        rows = F.zip_with(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"), _strip(p).alias("t"))), _starts(pieces, gaps), lambda p, s: F.struct(p["p"].alias("p"), p["i"].alias("i"), p["t"].alias("t"), s.alias("s")))
+        return F.transform(
+            F.filter(rows, lambda r: F.length(r["t"]) >= MIN_PARAGRAPH),
+            lambda r: F.struct(
+                F.concat(F.lit("para-"), r["i"]).alias("unit_id"), F.lit("paragraph").alias("unit_type"), r["s"].cast("int").alias("start"),
+                (r["s"] + F.length(r["p"])).cast("int").alias("end"), r["t"].alias("text"),
+            ),
+        )
+
+    def of(c: Column) -> Column:
+        # a plain search turns nearly all texts away before a heading is counted
+        articles = F.contains(c, F.lit("Arti")) & (F.regexp_count(c, F.lit(ARTICLE)) >= 3)
+        recitals = F.contains(c, F.lit("(")) & (F.regexp_count(c, F.lit(RECITAL)) >= 5)
+        by_break = X.bind(F.struct(F.split(c, BREAK).alias("p"), F.regexp_extract_all(c, F.lit(BREAK), F.lit(0)).alias("g")), lambda x: paragraphs(x["p"], x["g"]))
+        return F.when(articles, _headed(c, ARTICLE, "article", "Article-")).when(recitals, _headed(c, RECITAL, "recital", "Recital-")).otherwise(by_break)
+
+    return X.bind(X.text(c), of)
 
 
 def units(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,34 +72,11 @@ def units(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(units_of(F.col(text))).alias("u")).select(key, "u.*")
 
 
-def sentences_of(unit: Column) -> Column:
-    """(s, e, body, sentence) of what stands between full stops; the stop belongs to the sentence."""
-    row = "struct<s:int,e:int,body:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        end = acc["at"] + F.length(b)
-        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (end + 1).alias("e"), b.alias("body")))).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        n = F.size(acc["out"])
-        return F.transform(acc["out"], lambda r, i: F.struct(
-            r["s"].alias("s"), F.when(i < n - 1, r["e"]).otherwise(r["e"] - 1).alias("e"), r["body"].alias("body"),
-            _strip(F.when(i < n - 1, F.concat(r["body"], F.lit("."))).otherwise(r["body"])).alias("sentence"),
-        ))
-
-    return F.aggregate(F.split(unit, r"\."), start, step, finish)
-
-
-def sentences(units: DataFrame, *, keep: tuple[str, ...]) -> DataFrame:
-    """Sentences of units with running offsets. Offsets come from a running sum over the exploded
-    rows of one unit inside the array, so a unit is never shuffled."""
-    return units.select(*keep, "start", F.explode(sentences_of(F.col("text"))).alias("x")).select(*keep, "start", "x.*")
+def first_markers(low: Column, profile: Profile) -> Column:
+    """For each predicate the first marker, in profile order, that stands in the lower-case sentence.
 
-
-def first_markers(body: Column, profile: Profile) -> Column:
-    """For each predicate the first marker, in profile order, that stands in the sentence."""
-    low = F.lower(body)
+    One pattern of all markers turns most sentences away before any is looked for by itself.
+    """
     found = []
     for predicate in dict.fromkeys(m.predicate for m in profile.markers):
         hit = F.lit(None)
@@ -109,7 +89,36 @@ def first_markers(body: Column, profile: Profile) -> Column:
             )
             hit = F.when(seen, row).otherwise(hit)
         found.append(hit)
-    return F.filter(F.array(*found), lambda m: m.isNotNull()) if found else F.array()
+    bare = [m.pattern.lower() for m in profile.markers]
+    if all(p[:1].isalnum() and p[-1:].isalnum() for p in bare):
+        some = low.rlike(rf"(?<!{X.WORD})(?:" + "|".join(r"\Q" + p + r"\E" for p in bare) + rf")(?!{X.WORD})")
+    else:
+        some = low.rlike("|".join(X.marker_pattern(p) for p in bare))
+    return F.when(some, F.filter(F.array(*found), lambda m: m.isNotNull()))
+
+
+def marked_sentences(unit: Column, profile: Profile) -> Column:
+    """(s, e, sentence, m) of the sentences of a unit in which markers stand; m are their first markers.
+
+    A sentence is what stands between full stops, with the one that ends it. Offsets are summed for
+    marked sentences only.
+    """
+
+    def of(bodies: Column) -> Column:
+        n = F.size(bodies)
+        seen = F.transform(bodies, lambda b, i: F.struct(i.alias("i"), b.alias("b"), X.bind(F.lower(b), lambda low: first_markers(low, profile)).alias("m")))
+        marked = F.filter(seen, lambda x: x["m"].isNotNull() & (F.size(x["m"]) > 0))
+
+        def placed(sizes: Column) -> Column:
+            start = lambda i: (F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, k: a + k) + i).cast("int")
+            return F.transform(marked, lambda x: X.bind(start(x["i"]), lambda s: F.struct(
+                s.alias("s"), (s + F.length(x["b"]) + F.when(x["i"] < n - 1, 1).otherwise(0)).alias("e"),
+                _strip(F.when(x["i"] < n - 1, F.concat(x["b"], F.lit("."))).otherwise(x["b"])).alias("sentence"), x["m"].alias("m"),
+            )))
+
+        return X.bind(F.transform(bodies, F.length), placed)
+
+    return X.bind(F.split(unit, r"\."), of)
 
 
 def claims(docs: DataFrame, profile: Profile, *, key: str = "doc_id", text: str = "text", urn: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -119,8 +128,8 @@ def claims(docs: DataFrame, profile: Profile, *, key: str = "doc_id", text: str
     """
     base = docs.withColumn("source_urn", urn if urn is not None else F.col(key).cast("string"))
     u = base.select("source_urn", *carry, F.explode(units_of(F.col(text))).alias("u")).select("source_urn", *carry, "u.unit_id", "u.unit_type", "u.start", "u.text")
-    s = sentences(u, keep=("source_urn", *carry, "unit_id", "unit_type")).where(F.length("sentence") >= MIN_SENTENCE)
-    m = s.withColumn("m", F.explode(first_markers(F.col("body"), profile)))
+    s = u.select("source_urn", *carry, "unit_id", "unit_type", "start", F.explode(marked_sentences(F.col("text"), profile)).alias("x")).select("source_urn", *carry, "unit_id", "unit_type", "start", "x.*")
+    m = s.where(F.length("sentence") >= MIN_SENTENCE).withColumn("m", F.explode("m"))
     start, end = F.col("start") + F.col("s"), F.col("start") + F.col("e")
     return m.select(
         X.item_id(F.col("source_urn"), start, end, F.col("m.predicate")).alias("item_id"), "source_urn", *carry, "unit_id", "unit_type",

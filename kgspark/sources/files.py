@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.functions import text as X
-from kgspark.operators.records import ENVELOPE, digest, envelope_violations
+from kgspark.operators.records import ENVELOPE, digest, envelope_violations, upsert
+from kgspark.store import shared_folder
 
 SUFFIXES = ("pdf", "md", "txt")
 CLAIM_COLUMNS = (
@@ -62,10 +63,8 @@ def write_claims(claims: DataFrame, path: str, *, domain: str = "domain") -> Non
 def remove_source(spark: SparkSession, path: str, canonical_urn: str, domain: str) -> None:
     """Takes a source's rows out of its domain. The rest is written aside first: a table can't be
     overwritten while it is read."""
-    from kgspark.streaming.events import folder
-
     rest = spark.read.parquet(path).where((F.col("domain") == domain) & (F.col("canonical_urn") != canonical_urn))
-    aside = folder(spark)
+    aside = shared_folder(spark)
     rest.write.parquet(aside)
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
 
@@ -94,8 +93,6 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
 def append_envelopes(store: str, incoming: DataFrame) -> DataFrame:
     """Appends envelopes whose key is new, once each, and returns (idempotency_key, digest, status).
     A key with other content ends the job before anything is written."""
-    from kgspark.operators.records import upsert
-
     spark = incoming.sparkSession
     try:
         old = spark.read.parquet(store)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kgspark.operators import lifecycle as L
+from kgspark.store import shared_folder
 
 STATE = "node_id string, hid_at long, hid_by string, restored_at long"
 
 
-def folder(spark: SparkSession) -> str:
-    """A place for checkpoints and state: the shared folder the session names, else a local one."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kgspark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def partial_fold(batch: DataFrame) -> DataFrame:
     """What a batch says of each node: its last hiding event and its last restore. Partials merge in any
     order, so a batch that comes twice changes nothing."""
@@ -43,7 +35,7 @@ def fold_stream(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFr
     Each micro-batch writes its partial fold under its batch id (a repeated batch overwrites itself);
     the state is the merge of the partials.
     """
-    at = folder(spark)
+    at = shared_folder(spark)
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit("source.seeded"))
     found = spark.read.parquet(path)
     reader = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 8)
@@ -73,5 +65,5 @@ def session_counts(stream: DataFrame, *, ts: str = "ts", key: str = "user_id", l
 def watch(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], *, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
     """New files of a folder as (path, length, modificationTime, content), in micro-batches."""
     stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", folder(spark) + "/checkpoint")
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", shared_folder(spark) + "/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
