@@ -138,7 +138,7 @@ def candidate_terms(c: Column) -> Column:
     words = profiles.CANON_WORDS
     quoted = F.transform(F.regexp_extract_all(text(c), F.lit(QUOTED), F.lit(1)), lambda x: slug(strip_edges(x, words)))
     phrases = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(CAPS), F.lit(1)), lambda x: strip_edges(x, words)), lambda x: F.instr(x, " ") > 0)
-    caps = F.transform(phrases, slug)
+    caps = F.transform(phrases, lambda x: slug(x))
     fine = lambda x: (x != "") & ~is_in(x, words) & ~is_glob(x)
     flag = lambda value: lambda x: F.struct(x.alias("term"), F.lit(value).alias("quoted"))
     return bind(F.array_distinct(F.filter(quoted, fine)), lambda first: F.concat(F.transform(first, flag(True)), F.transform(F.array_except(F.filter(caps, fine), first), flag(False))))

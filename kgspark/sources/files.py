@@ -25,7 +25,8 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, relpath, domain, suffix, size, mtime, skipped) of all files below a folder.
 
     Metadata only: the bytes aren't read. ``skipped`` says why a file is left out, or is NULL; domain
-    is the first folder, "_root" for files at the top.
+    is the first folder, "_root" for files at the top. Names that start with a dot or underscore are
+    not seen by Spark at all.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     base = root.rstrip("/").removeprefix("file:")
@@ -50,8 +51,8 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None
     is given, and are NULL in typed columns."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST")
     if schema is None:
-        df = reader.option("emptyValue", "").option("nullValue", "\x00").csv(path)
-        return df.select(*[F.regexp_replace(F.col(c), "\x00", "").alias(c) for c in df.columns])
+        df = reader.csv(path)
+        return df.select(*[F.coalesce(F.regexp_replace(F.col(c), "\x00", ""), F.lit("")).alias(c) for c in df.columns])
     return reader.schema(schema).csv(path)
 
 

@@ -64,6 +64,6 @@ def session_counts(stream: DataFrame, *, ts: str = "ts", key: str = "user_id", l
 
 def watch(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], *, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
     """New files of a folder as (path, length, modificationTime, content), in micro-batches."""
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(path)
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", shared_folder(spark) + "/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
