@@ -6,8 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,17 +50,25 @@ def spread(*cols: Column | str) -> Column:
     return F.xxhash64(*cols, F.lit(17))
 
 
+def sample_keys(keys: DataFrame, group: str, limit: int) -> DataFrame:
+    """At most ``limit`` keys (_k) of each group, by a hash of the key: the same for any partitioning.
+
+    Groups are counted first, and the hash leaves about four times the limit of each, so no task and
+    no sort ever holds more, however many keys there are.
+    """
+    counts = [(r[group], r["count"]) for r in keys.groupBy(group).count().collect()]
+    if not counts:
+        return keys
+    share = F.create_map(*[x for g, n in counts for x in (F.lit(g), F.lit(int(min(1.0, 4 * limit / n) * (1 << 30)) + 1))])
+    few = keys.where(F.pmod(spread("_k"), F.lit(1 << 30)) < share[F.col(group)])
+    return few.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(spread("_k"), "_k"))).where(F.col("_n") <= limit).drop("_n")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, per_class: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """At most ``per_class`` labelled rows of each class as (text, target): the bounded training sample.
 
-    The choice is by a hash of the key, so it is the same for any partitioning and size of
-    cluster. Only keys and labels are sorted; the texts are fetched afterwards.
+    Only keys and labels are counted and ranked; the texts are fetched afterwards.
     """
-    known = labels.select(F.col(key).alias("_k"), F.col(target).cast("int").alias("_y")).where("_k is not null and _y is not null").distinct()
-    parts = [known.where(F.col("_y") == c).orderBy(spread("_k"), "_k").limit(per_class) for c in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
+    known = labels.select(F.col(key).alias("_k"), F.col(target).cast("int").alias("_y")).where("_k is not null and _y in (0, 1)").distinct()
+    chosen = sample_keys(known, "_y", per_class)
     return docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_k").select("_k", "_t", "_y")
-
-
-def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])

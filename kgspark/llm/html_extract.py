@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm import kernels as K
-from kgspark.llm.common import fresh, spread
+from kgspark.llm.common import fresh, materialize, sample_keys
 
 #: Pages that the weights are fitted on, at most.
 TRAIN_PAGES = 1000
@@ -119,10 +119,13 @@ def extract(page: str | None, weights: dict[str, float]) -> tuple[str, int, int,
 
 
 def train(pages: DataFrame, *, limit: int = TRAIN_PAGES, html: str = "html", key: str = "page_id") -> dict[str, float]:
-    """Weights from at most ``limit`` labelled pages, chosen by a hash of the key."""
+    """Weights from at most ``limit`` labelled pages, chosen by a hash of the key. Keys of labelled
+    pages are written down first; only the chosen pages are sent to the driver."""
     marked = F.lower(F.col(html)).rlike("<(" + "|".join(LABEL_TAGS) + ")[\\s>]")
-    rows = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).where(marked).orderBy(spread("k"), "k", F.xxhash64("h")).limit(limit)
-    return fit([r["h"] for r in rows.collect()])
+    keys = materialize(pages.where(marked).select(F.col(key).alias("_k"), F.lit(1).alias("g")).where("_k is not null"))
+    chosen = sample_keys(keys, "g", limit).select("_k").distinct()
+    rows = pages.select(F.col(key).alias("_k"), F.col(html).alias("h")).join(F.broadcast(chosen), "_k").collect()
+    return fit([h for _, h in sorted((r["_k"], r["h"]) for r in rows if r["h"])])
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None, *, html: str = "html", key: str = "page_id") -> DataFrame:
