@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm import kernels as K
-from kgspark.llm.common import fresh, spread
+from kgspark.llm.common import fresh, sample_keys
 
 #: Labelled documents of each language that its dictionary is made of, at most.
 TRAIN_PER_LANGUAGE = 300
 DICTIONARY_BYTES = 1 << 16
-LEVEL = 3
+LEVEL = 6
 #: Texts are encoded in pieces, each with a fresh dictionary, so that a long text's own words don't
 #: take over from the dictionary.
 PIECE_BYTES = 4096
@@ -63,15 +63,31 @@ class Model:
 
 
 def make_dictionary(texts: list[str]) -> bytes:
-    """Folded words of the texts, cut to size from the front: zstandard favours what stands last."""
-    return " ".join(" ".join(K.words(t)) for t in texts).encode()[-DICTIONARY_BYTES:]
+    """Folded words for a dictionary: an equal share from the middle of each text, so that no text's
+    own passages fill it, then the words of several texts, the most frequent last, where zstandard
+    reaches them most cheaply."""
+    counts = Counter(w for t in texts for w in set(K.words(t)))
+    common, size = [], 0
+    for word, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        size += len(word.encode()) + 1
+        if n < 2 or size > DICTIONARY_BYTES // 4:
+            break
+        common.append(word)
+    tail = " ".join(reversed(common)).encode()
+    each = max(1, (DICTIONARY_BYTES - len(tail) - 1) // max(1, len(texts)))
+    parts = []
+    for t in texts:
+        raw = " ".join(K.words(t)).encode()
+        at = max(0, (len(raw) - each) // 2)
+        parts.append(raw[at : at + each])
+    return b" ".join(filter(None, [*parts, tail]))[-DICTIONARY_BYTES:]
 
 
 def train(docs: DataFrame, *, per_language: int = TRAIN_PER_LANGUAGE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A dictionary for each language among the labels, from a bounded sample chosen by a hash of the key."""
-    keys = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l")).where("k is not null and l is not null and l <> '' and l <> 'und'")
-    ranked = keys.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy(spread("k"), "k"))).where(F.col("n") <= per_language)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(ranked.select("k", "l").distinct()), "k")
+    keys = docs.select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("l")).where("_k is not null and l is not null and l <> '' and l <> 'und'")
+    chosen = sample_keys(keys, "l", per_language).distinct()
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "_k").withColumnRenamed("_k", "k")
     found = rows.select("l", "k", "t").toPandas().sort_values(["l", "k", "t"], kind="stable")
     contents = {str(l): make_dictionary(g["t"].tolist()) for l, g in found.groupby("l")}
     return Model({l: c for l, c in contents.items() if c})
