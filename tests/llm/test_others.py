@@ -225,6 +225,19 @@ def test_passages_equal_brute_force(spark, make_docs, rng):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_a_window_has_one_original_when_each_anchor_is_alone(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 0)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        passage = prose(rng, 120).split()
+        texts += [prose(rng, rng.randint(1, 30)) + " " + " ".join(passage[rng.randint(0, 35) : rng.randint(85, 120)]) + " " + prose(rng, rng.randint(1, 30)) for _ in range(6)]
+    want = brute_passages(list(enumerate(texts)), 50)
+    for limit in (64 << 20, 0):
+        got = [tuple(r) for r in X.repeated_passages(make_docs(texts), max_broadcast_bytes=limit).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_passage_edges(spark, make_docs, rng):
     t = prose(rng, 80)
     docs = make_docs([(1, t), (None, t), (2, None), (3, "")])
