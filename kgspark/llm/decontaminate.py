@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm import kernels as K
-from kgspark.llm.common import fresh
+from kgspark.llm.common import fresh, materialize
 
 #: Words in an n-gram. An item of fewer words is one gram of its own length.
 GRAM_WORDS = 8
@@ -101,6 +102,16 @@ def merged(found: list[tuple[int, int, int]]) -> dict[int, list[list[int]]]:
     return rows
 
 
+def scanned(texts: pa.Array, hits: Callable[[K.Words], list[tuple[int, int, int]]]) -> tuple[np.ndarray, dict[int, tuple[int, int, str]]]:
+    """Words of each row; removed words, spans and new text of the rows in which one scan finds something."""
+    w = K.split_words(texts)
+    found = {}
+    for r, spans in merged(hits(w)).items():
+        left = cut(texts[r].as_py(), [(int(w.start[lo] - w.offsets[r]), int(w.end[hi - 1] - w.offsets[r])) for lo, hi in spans])
+        found[r] = sum(hi - lo for lo, hi in spans), len(spans), left
+    return np.diff(w.ptr), found
+
+
 def cleaned(texts: pa.Array, hits: Callable[[K.Words], list[tuple[int, int, int]]], drop_share: float) -> tuple[dict[int, str], np.ndarray, np.ndarray, np.ndarray]:
     """New texts of the rows that change; for each row its removed words, spans and whether it goes.
 
@@ -111,17 +122,16 @@ def cleaned(texts: pa.Array, hits: Callable[[K.Words], list[tuple[int, int, int]
     removed, cuts, drop, total = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, np.int64)
     which, again = np.arange(n), texts
     while len(which):
-        w = K.split_words(again)
+        count, found = scanned(again, hits)
         if not total.any():
-            total = np.diff(w.ptr)
-        rows = merged(hits(w))
-        for r, spans in rows.items():
+            total = count
+        for r, (gone, spans, left) in found.items():
             i = int(which[r])
-            removed[i] += sum(hi - lo for lo, hi in spans)
-            cuts[i] += len(spans)
-            changed[i] = cut(again[r].as_py(), [(int(w.start[lo] - w.offsets[r]), int(w.end[hi - 1] - w.offsets[r])) for lo, hi in spans])
+            removed[i] += gone
+            cuts[i] += spans
+            changed[i] = left
             drop[i] = removed[i] >= drop_share * total[i]
-        which = which[sorted(rows)]
+        which = which[sorted(found)]
         again = pa.array([changed[int(i)] for i in which], pa.string())
     return changed, removed, cuts, drop
 
@@ -157,16 +167,20 @@ def decontaminate(
     return docs.mapInArrow(run, schema)
 
 
+def _replaced(column: pa.Array, changed: dict[int, str]) -> pa.Array:
+    if not changed:
+        return column
+    values = column.to_pylist()
+    for i, value in changed.items():
+        values[i] = value
+    return pa.array(values, column.type)
+
+
 def _apply(batch: pa.RecordBatch, text: str, hits: Callable, drop_share: float, names: list[str]) -> pa.RecordBatch:
     k = batch.schema.get_field_index(text)
-    column = batch.column(k)
-    changed, removed, cuts, drop = cleaned(column, hits, drop_share)
+    changed, removed, cuts, drop = cleaned(batch.column(k), hits, drop_share)
     columns = list(batch.columns)
-    if changed:
-        values = column.to_pylist()
-        for i, value in changed.items():
-            values[i] = value
-        columns[k] = pa.array(values, column.type)
+    columns[k] = _replaced(columns[k], changed)
     out = pa.record_batch([*columns, pa.array(removed), pa.array(cuts)], names)
     return out.filter(pa.array(~drop)) if drop.any() else out
 
@@ -174,11 +188,13 @@ def _apply(batch: pa.RecordBatch, text: str, hits: Callable, drop_share: float,
 def _joined(docs: DataFrame, grams: DataFrame, text: str, drop_share: float, schema: T.StructType) -> DataFrame:
     """The same for gram sets beyond a broadcast: each text's window hashes meet the grams in a join.
 
-    The grams that a text may hold come back to it by the text's digest; the cut is the same code.
+    The grams that a text may hold come back to it by the text's digest and are cut by one scan. What
+    was cut is joined again, as a cut may bring together a passage whose grams no text had before.
     """
-    digest, found = fresh(docs, "_digest", "_found")
+    removed_col, spans_col = schema.names[-2:]
+    digest, found, again = fresh(docs.select("*", F.lit(0).alias(removed_col), F.lit(0).alias(spans_col)), "_digest", "_found", "_again")
     sizes = [r[0] for r in grams.select("size").distinct().collect()]
-    keyed = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    names = schema.names
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "t"):
@@ -190,14 +206,35 @@ def _joined(docs: DataFrame, grams: DataFrame, text: str, drop_share: float, sch
                 row = np.searchsorted(w.ptr, at, "right") - 1
                 yield pa.record_batch([batch.column("d").take(pa.array(row)), pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32))], ["d", "hash", "size"])
 
-    seen = keyed.select(F.col(digest).alias("d"), F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(windows, "d string, hash long, size int")
-    per_text = seen.join(grams.hint("shuffle_hash"), ["hash", "size"]).groupBy("d").agg(F.collect_set(F.struct("hash", "size", "words")).alias(found)).withColumnRenamed("d", digest)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, text):
-            rows = [x for r in batch.column(found).to_pylist() if r for x in r]
-            own = batch.select([f for f in batch.schema.names if f not in (digest, found)])
-            grams = Grams(np.array([x["hash"] for x in rows], np.int64).view(np.uint64), np.array([x["size"] for x in rows], np.int64), [x["words"] for x in rows])
-            yield _apply(own, text, grams.hits, drop_share, schema.names)
-
-    return keyed.join(per_text, digest, "left").mapInArrow(run, schema)
+            # all grams of a row's text are among its own, so those of its neighbours find nothing more in it
+            rows = [x for r in batch.column(found).to_pylist() for x in r]
+            own = Grams(np.array([x["hash"] for x in rows], np.int64).view(np.uint64), np.array([x["size"] for x in rows], np.int64), [x["words"] for x in rows])
+            words, hit = scanned(batch.column(text), own.hits)
+            columns = {name: batch.column(name) for name in names}
+            columns[text] = _replaced(columns[text], {r: left for r, (_, _, left) in hit.items()})
+            before = columns[removed_col].to_numpy()
+            removed, cuts, changed = before.copy(), columns[spans_col].to_numpy().copy(), np.zeros(len(words), bool)
+            for r, (gone, spans, _) in hit.items():
+                removed[r] += gone
+                cuts[r] += spans
+                changed[r] = True
+            columns |= {removed_col: pa.array(removed), spans_col: pa.array(cuts), again: pa.array(changed)}
+            drop = changed & (removed >= drop_share * (words + before))
+            yield pa.record_batch(list(columns.values()), list(columns)).filter(pa.array(~drop))
+
+    todo = docs.withColumns({removed_col: F.lit(0), spans_col: F.lit(0)})
+    done = []
+    while True:
+        keyed = todo.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+        seen = keyed.select(F.col(digest).alias("d"), F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(windows, "d string, hash long, size int")
+        per_text = materialize(seen.join(grams.hint("shuffle_hash"), ["hash", "size"]).groupBy("d").agg(F.collect_set(F.struct("hash", "size", "words")).alias(found)).withColumnRenamed("d", digest))
+        if per_text.isEmpty():
+            done.append(todo)
+            break
+        done.append(keyed.join(per_text, digest, "left_anti").select(*names))
+        cut_now = materialize(keyed.join(per_text, digest).mapInArrow(run, T.StructType([*schema.fields, T.StructField(again, T.BooleanType())])))
+        done.append(cut_now.where(~F.col(again)).select(*names))
+        todo = cut_now.where(again).select(*names)
+    return reduce(DataFrame.unionByName, done)

@@ -62,6 +62,25 @@ def test_a_cut_that_joins_a_passage_is_cut_again(spark, make_docs):
     assert row["removed_words"] == 16 and set(row["text"].split()) == {"keep", "tail"}
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_a_passage_joined_by_cuts_is_cut_whatever_the_number_of_grams(spark, make_docs, limit):
+    item = "one two three four five six seven eight"
+    other = "red green blue black white pink grey brown"
+    third = "north south east west up down left right"
+    inner = "five six " + third + " seven eight"
+    texts = [
+        "keep " * 40 + "one two three four " + other + " five six seven eight" + " tail" * 40,
+        "keep " * 60 + "one two " + other + " three four " + inner.replace("five six", "five " + other + " six") + " tail" * 60,
+        "keep one two three four " + other + " five six seven eight tail",
+        "keep " * 9 + "one two three four five six seven",
+        None,
+    ]
+    bench = spark.createDataFrame([(1, item), (2, other), (3, third)], ITEMS)
+    got = {r["doc_id"]: r for r in D.decontaminate(make_docs(texts), bench, max_broadcast_grams=limit).collect()}
+    assert {i: (r["removed_words"], r["removed_spans"]) for i, r in got.items()} == {0: (16, 2), 1: (32, 4), 3: (0, 0), 4: (0, 0)}
+    assert all(set(got[i]["text"].split()) == {"keep", "tail"} for i in (0, 1)) and got[3]["text"] == texts[3]
+
+
 def test_empty_tables_repeats_and_clashing_names(spark, make_docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], ITEMS)
     docs = make_docs(["x y", "x y"]).withColumnRenamed("lang", "removed_words")
