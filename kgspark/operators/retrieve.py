@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -165,3 +167,39 @@ def docs_from_kg(claims: DataFrame, concepts: DataFrame | None = None) -> DataFr
             "canonical_urn", "domain", "library", "concept_id", F.lit(0.0).alias("recency"),
         )
     )
+
+
+def nearest_vectors(vectors: DataFrame, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k vectors nearest to every vector by cosine, itself included.
+
+    Exact: every block of rows meets every block, each pair in one task that keeps k for each query.
+    A zero vector's norm counts as 1. Scores equal in 12 digits are ties; they fall to the least key.
+    Null keys and vectors take no part; keys are unique and vectors of one length.
+    """
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        m = np.stack(v.to_numpy()).astype(float)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(norm == 0, 1.0, norm)
+
+    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        score = np.round(unit(q["v"]) @ unit(c["v"]).T, 12)
+        top = min(k, len(c))
+        least = np.partition(score, -top, axis=1)[:, -top]
+        row, col = np.nonzero(score >= least[:, None])
+        ids, got = c["id"].to_numpy(), score[row, col]
+        order = np.lexsort((ids[col], -got, row))
+        row, col, got = row[order], col[order], got[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"query_id": q["id"].to_numpy()[row[keep]], "vec_id": ids[col[keep]], "score": got[keep]})
+
+    asked = placed.select("id", "v", F.col("own").alias("a"), F.col("other").alias("b")).groupBy("a", "b")
+    held = placed.select("id", "v", F.col("other").alias("a"), F.col("own").alias("b")).groupBy("a", "b")
+    found = asked.cogroup(held).applyInPandas(pair, "query_id long, vec_id long, score double")
+    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

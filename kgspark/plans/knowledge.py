@@ -151,6 +151,22 @@ def placement_tier(spark, sf):  # noqa: ANN001
     return M.recommend_tier(M.rank_domains(_scores(spark, sf)))
 
 
+def placement_nearest_sources_all(spark, sf):  # noqa: ANN001
+    """Every source placed; the queries without ``_all``, as their SQL, place src4 only."""
+    return M.nearest_sources(M.all_source_scores(_holdings(spark, sf)), by=("query",)).select("query", "urn", F.round("score", 6).alias("score"))
+
+
+def placement_rank_domains_all(spark, sf):  # noqa: ANN001
+    return M.rank_domains(M.all_source_scores(_holdings(spark, sf)), by=("query",)).select("query", "domain", F.round("score", 6).alias("score"), "nearest_source")
+
+
+def placement_tier_all(spark, sf):  # noqa: ANN001
+    """Sources without any neighbour have a tier as well."""
+    every = table(spark, sf, "documents").select(F.col("source").alias("query")).where("query is not null").distinct()
+    ranked = M.rank_domains(M.all_source_scores(_holdings(spark, sf)), by=("query",))
+    return M.recommend_tier(every.join(ranked, "query", "left"), by=("query",))
+
+
 def eval_prf1(spark, sf):  # noqa: ANN001
     """Documents of six lines or more, as a guess at quality, against the labels."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
@@ -222,7 +238,7 @@ def graph_edges(spark, sf):  # noqa: ANN001
 QUERIES = (
     segment_units, claims_extract, claims_by_predicate, quantification_hist, definitions_scan, candidate_terms, key_terms, fingerprint_hist, federation_5d_hist,
     canon_concepts, canon_salient, canon_unclustered, canon_edges, canon_entries_top, canon_morph, canon_pairs_m2, canon_composition_edges, convergence_curve, convergence_global,
-    canon_merge_domains, mint_curve, mine_ngrams_maximal, mention_edges, suggest_confirm_min2, placement_nearest_sources, placement_rank_domains, placement_tier, eval_prf1,
+    canon_merge_domains, mint_curve, mine_ngrams_maximal, mention_edges, suggest_confirm_min2, placement_nearest_sources, placement_rank_domains, placement_tier, placement_nearest_sources_all, placement_rank_domains_all, placement_tier_all, eval_prf1,
     concept_audit, escalation_budget, models_for_source, sources_for_model, orphan_claims, orphan_edges, edge_contract_violations, concept_id_checks, materialize_claims, graph_nodes, graph_edges,
 )
 

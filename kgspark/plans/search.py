@@ -69,6 +69,11 @@ def dense_cosine_topk(spark, sf):  # noqa: ANN001
     return near.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 9).alias("score"))
 
 
+def dense_cosine_topk_all(spark, sf):  # noqa: ANN001
+    """The ten vectors nearest to every vector; dense_cosine_topk, as its SQL, asks for the first one only."""
+    return R.nearest_vectors(table(spark, sf, "embeddings")).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
+
+
 def index_update_counts(spark, sf):  # noqa: ANN001
     """Documents of two sources are removed, two come again and one is new."""
     d = _docs(spark, sf)
@@ -82,7 +87,7 @@ def index_update(spark, sf):  # noqa: ANN001
     return R.update(d, new, d.where("library = 'src5'").select("doc_id")).select("doc_id", F.md5("text").alias("digest"))
 
 
-QUERIES = (bm25_topk, bm25_weighted, bm25_facet_filter, facet_browse, facet_counts, jaccard_topk, jaccard_facet, jaccard_set_join, hybrid_fusion_hashing, dense_cosine_topk, index_update_counts, index_update)
+QUERIES = (bm25_topk, bm25_weighted, bm25_facet_filter, facet_browse, facet_counts, jaccard_topk, jaccard_facet, jaccard_set_join, hybrid_fusion_hashing, dense_cosine_topk, dense_cosine_topk_all, index_update_counts, index_update)
 
 
 def _bm25_sql(terms: list[str], where: str = "true", weights: dict | None = None, dense: str = "") -> str:
