@@ -214,6 +214,18 @@ def edge_contract_violations(spark, sf):  # noqa: ANN001
     return G.edge_contract_violations(kinds).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def edge_contract_violations_all(spark, sf):  # noqa: ANN001
+    """Edges of every source; edge_contract_violations, as its SQL, checks those of src1 and src2 only.
+
+    Family and role are made up from the source's number: odd ones ground without a role, the others
+    (and sources without a number) bind with one.
+    """
+    odd = F.substring(F.regexp_extract("canonical_urn", "[0-9]+", 0), -1, 1).isin(*"13579")
+    odd = F.coalesce(odd, F.lit(False))
+    kinds = C.edges(coordinates(spark, sf)).withColumns({"edge_family": F.when(odd, "grounding").otherwise("binding"), "dimension": F.lit("causal"), "semantic_role": F.when(odd, "").otherwise("slot")})
+    return G.edge_contract_violations(kinds).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def concept_id_checks(spark, sf):  # noqa: ANN001
     found = coordinates(spark, sf).select(F.when(F.col("predicate") == "causes", F.concat(F.lit("urn:x:"), "concept_id")).otherwise(F.col("concept_id")).alias("concept_id")).distinct()
     return G.concept_id_violations(found).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
@@ -239,7 +251,7 @@ QUERIES = (
     segment_units, claims_extract, claims_by_predicate, quantification_hist, definitions_scan, candidate_terms, key_terms, fingerprint_hist, federation_5d_hist,
     canon_concepts, canon_salient, canon_unclustered, canon_edges, canon_entries_top, canon_morph, canon_pairs_m2, canon_composition_edges, convergence_curve, convergence_global,
     canon_merge_domains, mint_curve, mine_ngrams_maximal, mention_edges, suggest_confirm_min2, placement_nearest_sources, placement_rank_domains, placement_tier, placement_nearest_sources_all, placement_rank_domains_all, placement_tier_all, eval_prf1,
-    concept_audit, escalation_budget, models_for_source, sources_for_model, orphan_claims, orphan_edges, edge_contract_violations, concept_id_checks, materialize_claims, graph_nodes, graph_edges,
+    concept_audit, escalation_budget, models_for_source, sources_for_model, orphan_claims, orphan_edges, edge_contract_violations, edge_contract_violations_all, concept_id_checks, materialize_claims, graph_nodes, graph_edges,
 )
 
 _C, _N = f"WITH {CLAIMS} ", f"WITH {CLAIMS}, {COORDS} "

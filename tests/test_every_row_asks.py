@@ -1,4 +1,4 @@
-"""Queries in which every row asks, against brute force."""
+"""Queries over every row and the whole of it, against brute force."""
 
 import math
 from pathlib import Path
@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 
 from kgspark import catalogue
+from kgspark.operators import canon as C
 from kgspark.operators import mining as M
 from kgspark.operators import retrieve as R
+from kgspark.plans.base import coordinates
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -77,3 +79,11 @@ def test_the_placed_source_of_the_sql_is_one_of_all(spark):
         one = q[name](spark, SF)
         assert {tuple(r[c] for c in one.columns) for r in all_ if r["query"] == "src4"} == {tuple(r) for r in one.collect()}
         assert {r["query"] for r in all_} <= sources and (name != "placement_tier" or len(all_) == len(sources))
+
+
+@needs_tables
+def test_edges_of_every_source_are_checked(spark):
+    urns = [r[0] for r in C.edges(coordinates(spark, SF)).select("canonical_urn").collect()]
+    odd = sum(int(u.removeprefix("src")) % 2 for u in urns)
+    got = {r["violation"]: r["n"] for r in catalogue.queries()["edge_contract_violations_all"](spark, SF).collect()}
+    assert len(set(urns)) > 2 and got == {"semantic_role required": odd, "type invalid for family": len(urns) - odd}
