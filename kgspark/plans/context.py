@@ -142,7 +142,7 @@ def _envelopes(spark, sf):  # noqa: ANN001
     """A conversation as an envelope: turns are nodes, neighbours are related."""
     c = table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     node = lambda x: F.struct(x["id"].alias("node_id"), x["role"].alias("node_type"), F.create_map(F.lit("role"), x["role"]).alias("dimensions"), F.create_map(F.lit("text"), x["text"]).alias("properties"))
-    rows = F.sort_array(F.collect_list(F.struct("turn", "id", "role", F.substring("text", 1, 40).alias("text"))))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "id", "role", "text")))
     g = c.groupBy("conv_id").agg(F.transform(rows, node).alias("nodes"))
     pair = F.filter(F.transform("nodes", lambda n, i: F.when(i > 0, F.struct(
         F.concat(F.lit("r"), i).alias("relation_id"), F.lit("follows").alias("relation_type"), F.get(F.col("nodes"), F.greatest(i - 1, F.lit(0)))["node_id"].alias("source"), n["node_id"].alias("target"),

@@ -9,7 +9,9 @@ import pytest
 from kgspark import catalogue
 from kgspark.operators import canon as C
 from kgspark.operators import mining as M
+from kgspark.operators import records
 from kgspark.operators import retrieve as R
+from kgspark.plans import context
 from kgspark.plans.base import coordinates
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +89,11 @@ def test_edges_of_every_source_are_checked(spark):
     odd = sum(int(u.removeprefix("src")) % 2 for u in urns)
     got = {r["violation"]: r["n"] for r in catalogue.queries()["edge_contract_violations_all"](spark, SF).collect()}
     assert len(set(urns)) > 2 and got == {"semantic_role required": odd, "type invalid for family": len(urns) - odd}
+
+
+def test_a_turn_that_differs_after_forty_characters_is_changed(spark, tmp_path):
+    digests = []
+    for tail in ("one", "two"):
+        spark.createDataFrame([(1, 0, "user", "x" * 40 + tail), (1, 1, "bot", "y")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/{tail}/conversations.parquet")
+        digests.append(context._envelopes(spark, f"{tmp_path}/{tail}").select(records.digest(context._envelopes(spark, f"{tmp_path}/{tail}"))).first()[0])
+    assert digests[0] != digests[1]
