@@ -190,13 +190,17 @@ def models_for_source(spark, sf):  # noqa: ANN001
 
 
 def sources_for_model(spark, sf):  # noqa: ANN001
-    """Sources of the concept with most sources."""
+    """Concepts of 15 sources or more with their number; sources_for_model_all has the sources, of every concept."""
     c = coordinates(spark, sf)
     edges = C.edges(c)
     n = G.models_for_source(claims(spark, sf), edges).groupBy("concept_id").agg(F.countDistinct("source_urn").alias("n_sources"))
     return n.where("n_sources >= 15")
 
 
+def sources_for_model_all(spark, sf):  # noqa: ANN001
+    return G.models_for_source(claims(spark, sf), C.edges(coordinates(spark, sf))).select("concept_id", "source_urn")
+
+
 def orphan_claims(spark, sf):  # noqa: ANN001
     known = table(spark, sf, "documents").select(F.col("source").alias("source_urn")).where("source <> 'src3'").distinct()
     return G.orphan_claims(claims(spark, sf), known).select("item_id", "source_urn")
@@ -251,7 +255,7 @@ QUERIES = (
     segment_units, claims_extract, claims_by_predicate, quantification_hist, definitions_scan, candidate_terms, key_terms, fingerprint_hist, federation_5d_hist,
     canon_concepts, canon_salient, canon_unclustered, canon_edges, canon_entries_top, canon_morph, canon_pairs_m2, canon_composition_edges, convergence_curve, convergence_global,
     canon_merge_domains, mint_curve, mine_ngrams_maximal, mention_edges, suggest_confirm_min2, placement_nearest_sources, placement_rank_domains, placement_tier, placement_nearest_sources_all, placement_rank_domains_all, placement_tier_all, eval_prf1,
-    concept_audit, escalation_budget, models_for_source, sources_for_model, orphan_claims, orphan_edges, edge_contract_violations, edge_contract_violations_all, concept_id_checks, materialize_claims, graph_nodes, graph_edges,
+    concept_audit, escalation_budget, models_for_source, sources_for_model, sources_for_model_all, orphan_claims, orphan_edges, edge_contract_violations, edge_contract_violations_all, concept_id_checks, materialize_claims, graph_nodes, graph_edges,
 )
 
 _C, _N = f"WITH {CLAIMS} ", f"WITH {CLAIMS}, {COORDS} "

@@ -97,3 +97,13 @@ def test_a_turn_that_differs_after_forty_characters_is_changed(spark, tmp_path):
         spark.createDataFrame([(1, 0, "user", "x" * 40 + tail), (1, 1, "bot", "y")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/{tail}/conversations.parquet")
         digests.append(context._envelopes(spark, f"{tmp_path}/{tail}").select(records.digest(context._envelopes(spark, f"{tmp_path}/{tail}"))).first()[0])
     assert digests[0] != digests[1]
+
+
+@needs_tables
+def test_every_concept_has_its_sources(spark):
+    want = {(r["concept_id"], r["source_urn"]) for r in coordinates(spark, SF).collect()}
+    rows = [(r["concept_id"], r["source_urn"]) for r in catalogue.queries()["sources_for_model_all"](spark, SF).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    numbers = {c: len({s for x, s in want if x == c}) for c, _ in want}
+    assert min(numbers.values()) < 15
+    assert {(r["concept_id"], r["n_sources"]) for r in catalogue.queries()["sources_for_model"](spark, SF).collect()} == {(c, n) for c, n in numbers.items() if n >= 15}
