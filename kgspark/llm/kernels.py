@@ -19,14 +19,20 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once by one worker; bounds its temporary arrays.
 SLICE_BYTES = 1 << 19
 WORD_RE = re.compile("[0-9a-zÀ-῿぀-\U0010ffff]+")
-#: Code points whose lower case has another length in UTF-8; they stay as they are.
-ODD = "".join(
-    c
-    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)])
-    if c.lower() != c and len(c.lower().encode()) != len(c.encode())
-)
+
+
+def _lower_cases() -> tuple[dict[int, str], str]:
+    """Arrow's lower case of each code point that has one of the same length in UTF-8, and the code
+    points whose lower case is longer or shorter: those stay as they are. No letter beyond U+1FFFF has
+    a case."""
+    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x20000))]
+    pairs = [(c, x) for c, x in zip(chars, pc.utf8_lower(pa.array(chars)).to_pylist()) if c != x]
+    same = {ord(c): x for c, x in pairs if len(c.encode()) == len(x.encode())}
+    return same, "".join(c for c, _ in pairs if ord(c) not in same)
+
+
+LOWER, ODD = _lower_cases()
 ODD_RE = f"[{ODD}]"
-_ODD_SET = frozenset(ODD)
 
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -43,7 +49,7 @@ _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 def fold(text: str) -> str:
     """Lower case, character by character; no character changes its byte length."""
-    return "".join(c if c in _ODD_SET else c.lower() for c in text)
+    return text.translate(LOWER)
 
 
 def words(text: str | None) -> list[str]:

@@ -51,3 +51,13 @@ def test_lines_and_blanks():
     assert [bytes(data[s:e]) for s, e in zip(start, end)] == [b"a ", b"", b" b", b"c", b""]
     lo, hi = K.stripped(data, start, end)
     assert [bytes(data[s:e]) for s, e in zip(lo, hi)] == [b"a", b"", b"b", b"c", b""]
+
+
+def test_folding_moves_no_byte_and_splits_alike_for_every_code_point():
+    chars = ["a" + chr(c) + "b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = pa.array(chars)
+    folded = K.fold_array(texts).to_pylist()
+    assert all(len(x.encode()) == len(y.encode()) and K.fold(x) == y for x, y in zip(chars, folded))
+    w = K.split_words(texts)
+    at = [[bytes(w.data[s:e]).decode() for s, e in zip(w.start[a:b], w.end[a:b])] for a, b in zip(w.ptr, w.ptr[1:])]
+    assert all(got == K.words(t) for got, t in zip(at, chars))
