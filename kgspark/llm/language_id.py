@@ -86,9 +86,9 @@ def make_dictionary(texts: list[str]) -> bytes:
 def train(docs: DataFrame, *, per_language: int = TRAIN_PER_LANGUAGE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A dictionary for each language among the labels, from a bounded sample chosen by a hash of the key."""
     keys = docs.select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("l")).where("_k is not null and l is not null and l <> '' and l <> 'und'")
-    chosen = sample_keys(keys, "l", per_language).distinct()
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "_k").withColumnRenamed("_k", "k")
-    found = rows.select("l", "k", "t").toPandas().sort_values(["l", "k", "t"], kind="stable")
+    chosen = sample_keys(keys, "l", per_language)
+    rows = docs.select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(chosen), ["_k", "l"])
+    found = rows.groupBy("l", F.col("_k").alias("k")).agg(F.min("t").alias("t")).toPandas().sort_values(["l", "k", "t"], kind="stable")
     contents = {str(l): make_dictionary(g["t"].tolist()) for l, g in found.groupby("l")}
     return Model({l: c for l, c in contents.items() if c})
 
