@@ -28,7 +28,7 @@ WORD_SHARES = (1.0, 0.5, 0.2, 0.1, 0.05, 0.02)
 #: Weights where no page is labelled.
 DEFAULT = {"": 0.1, "p": -LEAST, "br": -LEAST, "b": -LEAST, "i": -LEAST, "em": -LEAST, "strong": -LEAST, "h1": -LEAST, "h2": -LEAST, "h3": -LEAST, "?": -3.0}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^<>]*>(?:.*?</\1\s*>|.*\Z)|<[/!?]?([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?", re.S | re.I)
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
@@ -120,11 +120,12 @@ def extract(page: str | None, weights: dict[str, float]) -> tuple[str, int, int,
 
 def train(pages: DataFrame, *, limit: int = TRAIN_PAGES, html: str = "html", key: str = "page_id") -> dict[str, float]:
     """Weights from at most ``limit`` labelled pages, chosen by a hash of the key. Keys of labelled
-    pages are written down first; only the chosen pages are sent to the driver."""
+    pages are written down first; only the chosen pages are sent to the driver, one for each key (the
+    least of those that repeat it)."""
     marked = F.lower(F.col(html)).rlike("<(" + "|".join(LABEL_TAGS) + ")[\\s>]")
     keys = materialize(pages.where(marked).select(F.col(key).alias("_k"), F.lit(1).alias("g")).where("_k is not null"))
-    chosen = sample_keys(keys, "g", limit).select("_k").distinct()
-    rows = pages.select(F.col(key).alias("_k"), F.col(html).alias("h")).join(F.broadcast(chosen), "_k").collect()
+    chosen = sample_keys(keys, "g", limit).select("_k")
+    rows = pages.select(F.col(key).alias("_k"), F.col(html).alias("h")).join(F.broadcast(chosen), "_k").groupBy("_k").agg(F.min("h").alias("h")).collect()
     return fit([h for _, h in sorted((r["_k"], r["h"]) for r in rows if r["h"])])
 
 
