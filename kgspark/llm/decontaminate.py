@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm import kernels as K
-from kgspark.llm.common import fresh, materialize
+from kgspark.llm.common import bit_table, fresh, materialize
 
 #: Words in an n-gram. An item of fewer words is one gram of its own length.
 GRAM_WORDS = 8
@@ -22,6 +22,9 @@ MIN_ITEM_WORDS = 5
 DROP_SHARE = 0.5
 #: Up to so many grams (about 100 bytes each) are broadcast; more are joined by hash.
 MAX_BROADCAST_GRAMS = 1_000_000
+#: Bits that tell windows of text from grams before the join; more grams than these serve only make
+#: more windows meet them.
+MAX_TABLE_BYTES = 64 << 20
 
 GRAMS = T.StructType([T.StructField("hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.StringType())])
 
@@ -153,10 +156,10 @@ def decontaminate(
     grams = item_grams(benchmark, item_text, n, min_item_words)
     removed_col, spans_col = fresh(docs, "removed_words", "removed_spans")
     schema = T.StructType([*docs.schema.fields, T.StructField(removed_col, T.IntegerType()), T.StructField(spans_col, T.IntegerType())])
-    rows = grams.limit(max_broadcast_grams + 1).toPandas()
+    rows = grams.limit(max_broadcast_grams + 1).toArrow()
     if len(rows) > max_broadcast_grams:
         return _joined(docs, grams, text, drop_share, schema)
-    hashes, sizes, known = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["size"].to_numpy(np.int64), rows["words"].tolist()
+    hashes, sizes, known = rows.column("hash").to_numpy().view(np.uint64), rows.column("size").to_numpy().astype(np.int64), rows.column("words").to_pylist()
     shared = docs.sparkSession.sparkContext.broadcast((hashes, sizes, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,30 +189,45 @@ def _apply(batch: pa.RecordBatch, text: str, hits: Callable, drop_share: float,
 
 
 def _joined(docs: DataFrame, grams: DataFrame, text: str, drop_share: float, schema: T.StructType) -> DataFrame:
-    """The same for gram sets beyond a broadcast: each text's window hashes meet the grams in a join.
+    """The same for gram sets beyond a broadcast: window hashes of texts meet the grams in a join.
 
-    The grams that a text may hold come back to it by the text's digest and are cut by one scan. What
-    was cut is joined again, as a cut may bring together a passage whose grams no text had before.
+    A bit table of the grams, of bounded size, goes to all tasks. Texts none of whose windows it knows
+    pass without a shuffle; of the others only the known windows are joined. The grams that a text holds
+    come back to it by its digest and are cut by one scan. What was cut is joined again, as a cut may
+    bring together a passage whose grams no text had before.
     """
     removed_col, spans_col = schema.names[-2:]
-    digest, found, again = fresh(docs.select("*", F.lit(0).alias(removed_col), F.lit(0).alias(spans_col)), "_digest", "_found", "_again")
+    d1, d2, found, again = fresh(docs.select("*", F.lit(0).alias(removed_col), F.lit(0).alias(spans_col)), "_d1", "_d2", "_found", "_again")
     sizes = [r[0] for r in grams.select("size").distinct().collect()]
     names = schema.names
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(grams.select("hash"), MAX_TABLE_BYTES))
+    marked = T.StructType([*schema.fields, T.StructField(again, T.BooleanType())])
+
+    def known(w: K.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, first word, row, hash) of the windows that may be grams."""
+        token, table = w.hashes(), shared.value
+        for size in sizes:
+            h = K.gram_hashes(token, size)
+            at = np.flatnonzero(table.has(h) & K.whole(w.ptr, size, len(token)))
+            yield size, at, np.searchsorted(w.ptr, at, "right") - 1, h[at]
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, text):
+            some = np.zeros(batch.num_rows, bool)
+            for _, _, row, _ in known(K.split_words(batch.column(text))):
+                some[row] = True
+            yield pa.record_batch([*batch.columns, pa.array(some)], marked.names)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "t"):
-            w = K.split_words(batch.column("t"))
-            token = w.hashes()
-            for size in sizes:
-                h = K.gram_hashes(token, size)
-                at = np.flatnonzero(K.whole(w.ptr, size, len(token)))
-                row = np.searchsorted(w.ptr, at, "right") - 1
-                yield pa.record_batch([batch.column("d").take(pa.array(row)), pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32))], ["d", "hash", "size"])
+            for size, _, row, h in known(K.split_words(batch.column("t"))):
+                row = pa.array(row)
+                yield pa.record_batch([batch.column("d1").take(row), batch.column("d2").take(row), pa.array(h.view(np.int64)), pa.array(np.full(len(h), size, np.int32))], ["d1", "d2", "hash", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, text):
             # all grams of a row's text are among its own, so those of its neighbours find nothing more in it
-            rows = [x for r in batch.column(found).to_pylist() for x in r]
+            rows = [x for r in batch.column(found).to_pylist() for x in r or ()]
             own = Grams(np.array([x["hash"] for x in rows], np.int64).view(np.uint64), np.array([x["size"] for x in rows], np.int64), [x["words"] for x in rows])
             words, hit = scanned(batch.column(text), own.hits)
             columns = {name: batch.column(name) for name in names}
@@ -227,14 +245,16 @@ def _joined(docs: DataFrame, grams: DataFrame, text: str, drop_share: float, sch
     todo = docs.withColumns({removed_col: F.lit(0), spans_col: F.lit(0)})
     done = []
     while True:
-        keyed = todo.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-        seen = keyed.select(F.col(digest).alias("d"), F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(windows, "d string, hash long, size int")
-        per_text = materialize(seen.join(grams.hint("shuffle_hash"), ["hash", "size"]).groupBy("d").agg(F.collect_set(F.struct("hash", "size", "words")).alias(found)).withColumnRenamed("d", digest))
+        flagged = todo.mapInArrow(flag, marked)
+        done.append(flagged.where(~F.col(again)).select(*names))
+        keyed = flagged.where(again).select(*names, F.xxhash64(text).alias(d1), F.xxhash64(F.lit(1), text).alias(d2))
+        seen = keyed.select(F.col(d1).alias("d1"), F.col(d2).alias("d2"), F.col(text).cast("string").alias("t")).mapInArrow(windows, "d1 long, d2 long, hash long, size int").distinct()
+        per_text = seen.join(grams.hint("shuffle_hash"), ["hash", "size"]).groupBy(F.col("d1").alias(d1), F.col("d2").alias(d2)).agg(F.collect_set(F.struct("hash", "size", "words")).alias(found))
+        per_text = materialize(per_text)
         if per_text.isEmpty():
-            done.append(todo)
+            done.append(keyed.select(*names))
             break
-        done.append(keyed.join(per_text, digest, "left_anti").select(*names))
-        cut_now = materialize(keyed.join(per_text, digest).mapInArrow(run, T.StructType([*schema.fields, T.StructField(again, T.BooleanType())])))
+        cut_now = materialize(keyed.join(per_text, [d1, d2], "left").mapInArrow(run, marked))
         done.append(cut_now.where(~F.col(again)).select(*names))
         todo = cut_now.where(again).select(*names)
     return reduce(DataFrame.unionByName, done)

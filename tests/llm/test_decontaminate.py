@@ -53,12 +53,13 @@ def test_same_as_brute_force(spark, make_docs, case, limit):
     assert set(range(len(texts))) - set(got) == {2}
 
 
-def test_a_cut_that_joins_a_passage_is_cut_again(spark, make_docs):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_a_cut_that_joins_a_passage_is_cut_again(spark, make_docs, limit):
     item = "one two three four five six seven eight"
     other = "red green blue black white pink grey brown"
     text = "keep " * 40 + "one two three four " + other + " five six seven eight" + " tail" * 40
     bench = spark.createDataFrame([(1, item), (2, other)], ITEMS)
-    row = D.decontaminate(make_docs([text]), bench).first()
+    row = D.decontaminate(make_docs([text]), bench, max_broadcast_grams=limit).first()
     assert row["removed_words"] == 16 and set(row["text"].split()) == {"keep", "tail"}
 
 
@@ -81,13 +82,23 @@ def test_a_passage_joined_by_cuts_is_cut_whatever_the_number_of_grams(spark, mak
     assert all(set(got[i]["text"].split()) == {"keep", "tail"} for i in (0, 1)) and got[3]["text"] == texts[3]
 
 
-def test_empty_tables_repeats_and_clashing_names(spark, make_docs):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_letters_whose_lower_case_has_another_length_move_no_cut(spark, make_docs, limit):
+    item = "one two three four five six seven eight"
+    odd = "\ua7cb\ua7dc\u0130\u1e9e\u212a"
+    bench = spark.createDataFrame([(1, item)], ITEMS)
+    row = D.decontaminate(make_docs([odd * 3 + " keep " * 30 + item + " end here" + odd]), bench, max_broadcast_grams=limit).first()
+    assert row["text"].split() == [odd * 3, *["keep"] * 30, "end", "here" + odd] and row["removed_words"] == 8
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_empty_tables_repeats_and_clashing_names(spark, make_docs, limit):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], ITEMS)
     docs = make_docs(["x y", "x y"]).withColumnRenamed("lang", "removed_words")
-    out = D.decontaminate(docs.union(docs), bench)
+    out = D.decontaminate(docs.union(docs), bench, max_broadcast_grams=limit)
     assert out.count() == 4 and out.columns[-2:] == ["removed_words_", "removed_spans"]
-    assert D.decontaminate(docs.limit(0), bench).count() == 0
-    assert D.decontaminate(docs, bench.limit(0)).count() == 2
+    assert D.decontaminate(docs.limit(0), bench, max_broadcast_grams=limit).count() == 0
+    assert D.decontaminate(docs, bench.limit(0), max_broadcast_grams=limit).count() == 2
 
 
 def test_random_order_of_rows_changes_nothing(spark, make_docs, case):
