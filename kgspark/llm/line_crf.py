@@ -16,8 +16,14 @@ from kgspark.llm.common import fresh, labelled
 #: Labelled documents of each class that the model is fitted on, at most.
 TRAIN_PER_CLASS = 1500
 #: A document stays if so much of its text (bytes of its lines) is labelled content.
-MIN_CONTENT_SHARE = 0.5
-EPOCHS, RATE, RIDGE = 80, 0.25, 1e-3
+MIN_CONTENT_SHARE = 0.25
+EPOCHS, RATE, RIDGE = 200, 0.25, 3e-5
+#: A line that stands in so many training documents that are not copies of each other is boilerplate.
+MIN_RECURRENCE = 3
+#: Documents that share so much of their words are copies of each other: their lines recur for that reason.
+MAX_LIKENESS = 0.5
+#: Known lines are rare each, so their weights are held back less.
+LINE_RIDGE = 1e-5
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _PLAIN, _ODD, _PIPE = (np.zeros(256, bool) for _ in range(7))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
@@ -52,8 +58,11 @@ BASES = np.concatenate([[0], np.cumsum(WIDTHS)[:-1]])
 N_FEATURES = int(WIDTHS.sum())
 
 
-def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (n, 11), bytes, and row pointers of the lines that are not blank."""
+def lines(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features (n, 12), bytes, row pointers and keys of the lines that are not blank.
+
+    The last feature is the line itself, if it is among the ``known`` keys (sorted), else "unknown".
+    """
     texts = texts.fill_null("")
     data, off = K.buffers(texts)
     n = len(data)
@@ -86,15 +95,48 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [per(upper, upper + lower), per(odd, size), per(plain, size), per(digits, size), per(repeats, n_words - 1), per(in_words[last] - in_words[first], n_words), n_words, per(bars, size), tail, per(shouts, n_words)]
     raw.append(sum((raw[k] > x).astype(np.int64) for k, x in ((0, 0.6), (1, 0.02), (4, 0.1), (7, 0.005), (9, 0.1))))
     keep = ~blank
-    features = np.stack([np.searchsorted(b, x[keep], "right") + base for b, x, base in zip(BINS, raw, BASES)], axis=1) if n else np.zeros((0, len(BINS)), np.int64)
-    return features, size[keep], np.searchsorted(start[keep], off)
+    lo, hi = K.stripped(data, start, end)
+    key = K.span_hashes(word.data, lo[keep], hi[keep])
+    columns = [np.searchsorted(b, x[keep], "right") + base for b, x, base in zip(BINS, raw, BASES)] if n else [np.zeros(0, np.int64)] * len(BINS)
+    return np.stack([*columns, N_FEATURES + place(key, known)], axis=1), size[keep], np.searchsorted(start[keep], off), key
+
+
+def place(keys: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """1 + the place of each key among the known ones; 0 for others."""
+    if known is None or not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at + 1, 0)
+
+
+def recurring(key: np.ndarray, ptr: np.ndarray, word_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lines that stand in MIN_RECURRENCE texts at least (sorted), and which of these do so
+    in texts that aren't copies of each other."""
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    pairs = np.unique(np.stack([key, row.astype(np.uint64)], axis=1), axis=0) if len(key) else np.zeros((0, 2), np.uint64)
+    known, head, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+    often = count >= MIN_RECURRENCE
+    known, head, count = known[often], head[often], count[often]
+    apart = np.zeros(len(known), bool)
+    for k, (a, n) in enumerate(zip(head.tolist(), count.tolist())):
+        picked: list[np.ndarray] = []
+        for r in pairs[a : a + n, 1].astype(np.int64).tolist():
+            own = word_sets[r]
+            if all(np.isin(own, x, assume_unique=True).sum() <= MAX_LIKENESS * max(1, min(len(own), len(x))) for x in picked):
+                picked.append(own)
+                if len(picked) >= MIN_RECURRENCE:
+                    apart[k] = True
+                    break
+    return known, apart
 
 
 class Crf:
-    """Two labels (0 boilerplate, 1 content); weights of features, of the first label and of steps."""
+    """Two labels (0 boilerplate, 1 content); weights of features, of the first label and of steps, and
+    the known lines, which are features of their own."""
 
-    def __init__(self, emit: np.ndarray | None = None, step: np.ndarray | None = None, first: np.ndarray | None = None) -> None:
-        self.emit = np.zeros((N_FEATURES, 2)) if emit is None else emit
+    def __init__(self, emit: np.ndarray | None = None, step: np.ndarray | None = None, first: np.ndarray | None = None, known: np.ndarray | None = None) -> None:
+        self.known = np.zeros(0, np.uint64) if known is None else known
+        self.emit = np.zeros((N_FEATURES + 1 + len(self.known), 2)) if emit is None else emit
         self.step = np.zeros((2, 2)) if step is None else step
         self.first = np.zeros(2) if first is None else first
 
@@ -157,7 +199,7 @@ class Crf:
         diff = hot - p
         for c in range(features.shape[1]):
             for y in (0, 1):
-                emit[:, y] += np.bincount(features[:, c], diff[:, y], N_FEATURES)
+                emit[:, y] += np.bincount(features[:, c], diff[:, y], len(emit))
         starts = ptr[:-1][some]
         inner = np.ones(n, bool)
         inner[starts] = False
@@ -173,33 +215,50 @@ class Crf:
         if not len(features):
             return self
         params = [self.emit, self.step, self.first]
+        ridge = [np.where(np.arange(len(self.emit)) > N_FEATURES, LINE_RIDGE, RIDGE)[:, None], RIDGE, RIDGE]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for k in range(1, epochs + 1):
             _, *grads = self.gradient(features, ptr, gold)
-            for p, g, a, b in zip(params, grads, m, v):
-                g = g / len(features) - RIDGE * p
+            for p, g, a, b, hold in zip(params, grads, m, v, ridge):
+                g = g / len(features) - hold * p
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p += RATE * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-9)
         return self
 
 
+def gold_labels(key: np.ndarray, ptr: np.ndarray, quality: np.ndarray, word_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(label of each line, known lines). Lines of good documents are content but for those that recur
+    in documents that aren't copies of each other; all lines of the others are boilerplate."""
+    known, apart = recurring(key, ptr, word_sets)
+    label = np.repeat(quality, np.diff(ptr))
+    label[np.isin(key, known[apart])] = 0
+    return label, known
+
+
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLASS, text: str = "text", key: str = "doc_id") -> Crf | None:
-    """A field fitted on labelled documents, whose lines take their document's label.
+    """A field fitted on labelled documents, each distinct text once, with labels for each line.
 
     None if a class has no document: nothing can be learned, and nothing is to be rejected.
     """
     rows = labelled(docs, labels, "quality", per_class, text, key).toPandas().sort_values(["_k", "_t"], kind="stable", na_position="first")
     if rows["_y"].nunique() < 2:
         return None
-    features, _, ptr = lines(pa.array(rows["_t"].tolist(), pa.string()))
-    return Crf().fit(features, ptr, np.repeat(rows["_y"].to_numpy(np.int64), np.diff(ptr)))
+    rows = rows.drop_duplicates(["_t", "_y"])
+    texts, quality = pa.array(rows["_t"].tolist(), pa.string()), rows["_y"].to_numpy(np.int64)
+    w = K.split_words(texts)
+    token = w.hashes()
+    _, _, ptr, keys = lines(texts)
+    gold, known = gold_labels(keys, ptr, quality, [np.unique(token[a:b]) for a, b in zip(w.ptr, w.ptr[1:])])
+    features, *_ = lines(texts, known)
+    return Crf(known=known).fit(features, ptr, gold)
 
 
 def judge(docs: DataFrame, model: Crf | None, *, min_share: float = MIN_CONTENT_SHARE, text: str = "text", reject: bool = False) -> DataFrame:
     """docs with ``n_lines``, ``n_content``, ``content_share`` and ``keep`` for each row.
 
-    Lines end at line feeds; blank ones aren't labelled. The share is of bytes in content lines among
+    Lines end at line feeds; blank ones aren't labelled. Boilerplate is what looks like the lines of
+    rejected documents, or stands where such lines do, or recurred among the training documents. The share is of bytes in content lines among
     those of all lines. With ``reject`` only rows that stay come back, with docs' columns alone.
 
     Null, empty or blank text: no lines, share 0, rejected. One very long line is one label. Rows are
@@ -212,7 +271,7 @@ def judge(docs: DataFrame, model: Crf | None, *, min_share: float = MIN_CONTENT_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, text):
-            features, size, ptr = lines(batch.column(text))
+            features, size, ptr, _ = lines(batch.column(text), None if model is None else model.known)
             label = np.ones(len(features), np.int8) if model is None else model.viterbi(features, ptr)
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ptr])
             share = total(size * label) / np.maximum(total(size), 1)

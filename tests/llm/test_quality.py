@@ -24,7 +24,7 @@ def brute_viterbi(model, features):
 
 def test_viterbi_equals_all_label_sequences():
     r = np.random.default_rng(0)
-    model = C.Crf(r.normal(size=(C.N_FEATURES, 2)), r.normal(size=(2, 2)), r.normal(size=2))
+    model = C.Crf(r.normal(size=(C.N_FEATURES + 1, 2)), r.normal(size=(2, 2)), r.normal(size=2))
     sizes = [1, 6, 0, 9, 3]
     ptr = np.concatenate([[0], np.cumsum(sizes)])
     features = np.stack([base + r.integers(0, w, ptr[-1]) for base, w in zip(C.BASES, C.WIDTHS)], axis=1)
@@ -36,7 +36,7 @@ def test_viterbi_equals_all_label_sequences():
 
 def test_gradient_is_that_of_the_likelihood():
     r = np.random.default_rng(1)
-    model = C.Crf(r.normal(size=(C.N_FEATURES, 2)), r.normal(size=(2, 2)), r.normal(size=2))
+    model = C.Crf(r.normal(size=(C.N_FEATURES + 1, 2)), r.normal(size=(2, 2)), r.normal(size=2))
     ptr = np.array([0, 3, 3, 4, 9])
     features = np.stack([base + r.integers(0, w, 9) for base, w in zip(C.BASES, C.WIDTHS)], axis=1)
     gold = r.integers(0, 2, 9)
@@ -91,6 +91,37 @@ def test_edges_of_the_input(trained, make_docs):
     assert sum(r["keep_"] for r in S.classify(odd, None).collect()) == 6
 
 
+def test_boilerplate_lines_planted_in_good_documents_are_labelled(spark, make_docs, rng):
+    good, bad = corpus(rng, 300)
+    planted = [prose(rng, n).capitalize() + "." for n in (3, 6, 9, 12, 8)]
+    mixed, truth = [], {}
+    for i, t in enumerate(good):
+        lines = [(x, 1) for x in t.split("\n")]
+        for _ in range(i % 3):
+            lines.insert(rng.randint(0, len(lines)), (rng.choice(planted), 0))
+        mixed.append("\n".join(x for x, _ in lines))
+        truth[i] = [y for _, y in lines]
+    copies = [mixed[0] + " again" * k for k in range(1, 9)]  # lines of copies recur, but are no boilerplate
+    docs = make_docs(mixed + bad + copies)
+    labels = spark.createDataFrame([(i, int(i < 300 or i >= 600), 0) for i in range(608) if i % 2 == 0], "doc_id long, quality int, toxic int")
+    model = C.train(docs, labels)
+    held = [i for i in range(300) if i % 2]
+    features, _, ptr, _ = C.lines(pa.array([mixed[i] for i in held]), model.known)
+    got = model.viterbi(features, ptr)
+    want = np.array([y for i in held for y in truth[i]])
+    hit = ((got == 0) & (want == 0)).sum()
+    assert hit >= 0.9 * (got == 0).sum() and hit >= 0.9 * (want == 0).sum() > 0
+    share = {r["doc_id"]: r["content_share"] for r in C.judge(docs, model).collect()}
+    assert np.mean([0 < share[i] < 1 for i in held if 0 in truth[i]]) >= 0.9 and np.mean([share[i] == 1 for i in held if 0 not in truth[i]]) >= 0.9
+    assert share[600] > 0.5
+
+
+def test_letters_whose_lower_case_has_another_length_are_read(spark, make_docs, trained):
+    docs, labels = trained
+    odd = make_docs(["\ua7cb\ua7dc\u0130\u1e9e" * 9, "x \ua7cb\n\ua7dc y"])
+    assert [r["n_lines"] for r in C.judge(odd, C.train(docs, labels)).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_score_is_the_mean_over_features():
     bucket, row = S.features(pa.array(["ab abcd abcd", "", "xyz"]))
     table = np.arange(S.N_BUCKETS, dtype=np.float32) / S.N_BUCKETS
