@@ -23,31 +23,36 @@ EPOCHS, RATE, SEED = 6, 2.0, 20240229
 #: A document is kept from this probability of good quality on: rejecting needs some certainty.
 MIN_PROBABILITY = 0.3
 _SHIFT = np.uint64(64 - 17)
-_REPEAT = 0  #: the word pair "the same word again"
+_SAME = 0  #: the pair of a word with itself
+_START, _END = 2, 3  #: control characters that mark a word's edges
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features, and the row of each.
 
-    Words are what stands between blanks, as it stands. Features are words, pairs "same word again",
-    and byte n-grams (character n-grams in ASCII) of 3 and 4 within a word.
+    Words are what stands between blanks, as it stands. Features are words, pairs of neighbouring words
+    (those of a word with itself share a bucket, as there are as many as words), and n-grams of 3 and 4 characters of a word with a mark at its start and its end, by their hashes.
     """
     w = K.split_blanks(texts)
     token, row = w.hashes(), w.rows()
-    again = np.flatnonzero(token[1:] == token[:-1]) + 1
-    again = again[row[again] == row[again - 1]]
-    out, rows = [(token >> _SHIFT).astype(np.int64), np.full(len(again), _REPEAT)], [row, row[again]]
-    data = w.data
-    length = (w.end - w.start).astype(np.int64)
+    pairs = K.gram_hashes(token, 2)
+    whole = np.flatnonzero(K.whole(w.ptr, 2, len(token)))
+    paired = np.where(token[whole] == token[np.minimum(whole + 1, len(token) - 1)], _SAME, (pairs[whole] >> _SHIFT).astype(np.int64)) if len(whole) else whole
+    out, rows = [(token >> _SHIFT).astype(np.int64), paired], [row, row[whole]]
+    # every word between two marks, one after the other
+    size = (w.end - w.start).astype(np.int64)
+    head = np.concatenate([[0], np.cumsum(size + 2)])
+    data = np.empty(head[-1], np.uint8)
+    data[head[:-1]], data[head[1:] - 1] = _START, _END
+    data[np.arange(size.sum()) + np.repeat(head[:-1] + 1 - np.cumsum(size) + size, size)] = w.data[np.arange(size.sum()) + np.repeat(w.start - np.cumsum(size) + size, size)]
+    char = np.flatnonzero((data & 0xC0) != 0x80)
+    after = np.append(char, len(data))
+    first = np.searchsorted(char, head)
+    length = np.diff(first)
     for n in GRAMS:
         k = np.maximum(length - n + 1, 0)
-        at = np.repeat(w.start - np.cumsum(k) + k, k) + np.arange(k.sum())
-        value = data[at].astype(np.uint64)
-        for j in range(1, n):
-            value |= data[at + j].astype(np.uint64) << np.uint64(8 * j)
-        value = (value + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-        out.append(((value * np.uint64(0xBF58476D1CE4E5B9)) >> _SHIFT).astype(np.int64))
+        at = np.repeat(first[:-1] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        out.append((K.span_hashes(data, after[at], after[at + n]) >> _SHIFT).astype(np.int64))
         rows.append(np.repeat(row, k))
     return np.concatenate(out), np.concatenate(rows)
 

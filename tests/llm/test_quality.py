@@ -129,4 +129,49 @@ def test_score_is_the_mean_over_features():
     for r in range(3):
         own = table[bucket[row == r]]
         assert p[r] == pytest.approx(1 / (1 + np.exp(-((own.mean() if len(own) else 0) + 0.5))))
-    assert n.tolist() == [3 + 1 + 4 + 2, 0, 1 + 1]
+    assert n.tolist() == [3 + 2 + (2 + 1) + 2 * (4 + 3), 0, 1 + 3 + 2]
+
+
+def plain_features(text):
+    """Words, pairs of words, and marked character n-grams, as strings."""
+    words = text.split()
+    grams = [m[i : i + n] for w in words for m in ["\x02" + w + "\x03"] for n in (3, 4) for i in range(len(m) - n + 1)]
+    return words, [(a, b) if a != b else "same" for a, b in zip(words, words[1:])], grams
+
+
+def test_features_are_those_of_plain_python():
+    texts = ["grüße né ß", "ab abcd abcd", "", " x ", "漢字 漢字かな é", "a\nb c", "naïve naïve"]
+    bucket, row = S.features(pa.array(texts))
+    seen, back = {}, {}
+    for r, t in enumerate(texts):
+        words, pairs, grams = plain_features(t)
+        own = bucket[row == r].tolist()
+        assert len(own) == len(words) + len(pairs) + len(grams)
+        got = [own[: len(words)], own[len(words) : len(words) + len(pairs)], own[len(words) + len(pairs) :]]
+        grams = [g for n in (3, 4) for g in grams if len(g) == n]
+        for kind, (names, ids) in enumerate(zip((words, pairs, grams), got)):
+            for name, i in zip(names, ids):
+                assert seen.setdefault((kind, name), i) == i
+                back.setdefault((kind, i), set()).add(name)
+    assert all(len(names) == 1 for names in back.values())
+
+
+def test_one_step_of_descent_is_that_of_plain_python():
+    model, other = S.Model(3), S.Model(3)
+    r = np.random.default_rng(0)
+    for m in (model, other):
+        m.out[:] = np.linspace(-1, 1, m.out.size).reshape(m.out.shape)
+    ids, share = np.array([5, 9, 77]), np.array([0.5, 0.25, 0.25], np.float32)
+    model.fit([(ids, share)], np.array([1]), epochs=1)
+    mean = [sum(float(share[k]) * float(other.vectors[i, d]) for k, i in enumerate(ids)) for d in range(S.DIM)]
+    score = [sum(mean[d] * float(other.out[d, c]) for d in range(S.DIM)) + float(other.bias[c]) for c in (0, 1)]
+    total = sum(np.exp(score))
+    p = [np.exp(score[0]) / total, np.exp(score[1]) / total - 1]
+    for d in range(S.DIM):
+        back = sum(float(other.out[d, c]) * p[c] for c in (0, 1))
+        for k, i in enumerate(ids):
+            assert model.vectors[i, d] == pytest.approx(float(other.vectors[i, d]) - S.RATE * min(share[k] * 3, 4) * back, abs=1e-5)
+        for c in (0, 1):
+            assert model.out[d, c] == pytest.approx(float(other.out[d, c]) - S.RATE * 0.1 * mean[d] * p[c], abs=1e-5)
+    untouched = r.integers(100, S.N_BUCKETS, 50)
+    assert (model.vectors[untouched] == other.vectors[untouched]).all()
