@@ -134,6 +134,8 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     start = start[start < n]
+    if not n:
+        return start, start
     end = np.append(start[1:], n)
     return start, end - (data[np.maximum(end - 1, 0)] == 10)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm import kernels as K
-from kgspark.llm.common import fresh, materialize
+from kgspark.llm.common import discard, fresh, materialize
 
 #: Errors allowed among the 64 bits of the trie.
 BUDGET = 10
@@ -29,8 +29,6 @@ SPREAD = 3
 #: Node pairs of at most so many leaf pairs are compared at once.
 LEAF = 48
 
-EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-
 
 def _blocks() -> list[tuple[int, int]]:
     cuts = np.linspace(0, 64, N_BLOCKS + 1).astype(int).tolist()
@@ -164,8 +162,9 @@ def sketch_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             out = pa.record_batch([batch.column("id"), *map(pa.array, new)], ["id", "sig", "more", "words"])
             yield out.filter(pa.array(n > 0))
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "id long, sig long, more long, words int")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    numbers = (("sig", T.LongType()), ("more", T.LongType()), ("words", T.IntegerType()))
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, k) for n, k in numbers)]))
 
 
 def near_edges(distinct: DataFrame, budget: int = BUDGET, budget_pairs: int = BUDGET_PAIRS) -> DataFrame:
@@ -187,10 +186,11 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, budget_pairs: int = BU
         if not got:
             return
         t = pa.Table.from_batches(got)
-        trie, ident, sig, more, words = (t.column(c).to_numpy() for c in ("trie", "id", "sig", "more", "words"))
+        ident = pa.concat_arrays(t.column("id").chunks)
+        trie, sig, more, words = (t.column(c).to_numpy() for c in ("trie", "sig", "more", "words"))
         sig, more = sig.view(np.uint64), more.view(np.uint64)
         order = np.lexsort((sig, trie))
-        trie, ident, sig, more, words = (x[order] for x in (trie, ident, sig, more, words))
+        trie, sig, more, words = (x[order] for x in (trie, sig, more, words))
         at = np.flatnonzero(np.diff(trie, prepend=-1))
         ends = np.append(at[1:], len(trie))
         rounds = np.cumsum(ends - at) // 200_000
@@ -201,9 +201,10 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, budget_pairs: int = BU
             i, j = i[near], j[near]
             if len(i):
                 a, b = star(hi - lo, i, j)
-                yield pa.record_batch([pa.array(ident[lo:hi][a]), pa.array(ident[lo:hi][b])], ["src", "dst"])
+                yield pa.record_batch([ident.take(pa.array(order[lo:hi][x])) for x in (a, b)], ["src", "dst"])
 
-    return keyed.repartition("trie").mapInArrow(run, EDGES).where("src <> dst").distinct()
+    kind = distinct.schema["id"].dataType
+    return keyed.repartition("trie").mapInArrow(run, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])).where("src <> dst").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,7 +221,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.where("id <> root").groupBy("id").agg(F.min("root").alias("low"), F.collect_set("root").alias("all"))
         linked = small.select(F.explode(F.array_union("all", F.array("id"))).alias("id"), F.col("low").alias("root")).where("id <> root").distinct()
         after = materialize(linked)
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        discard(now)
+        if same:
             return after
         now = after
 
@@ -233,7 +236,7 @@ def duplicates(docs: DataFrame, *, budget: int = BUDGET, budget_pairs: int = BUD
     least id of a group stays. Equal sketches are joined to their least
     id at once, so thousands of copies cost as many edges, not their square.
 
-    Null keys, and null or wordless texts, are nobody's copies. Texts of under 12 words match texts of
+    Keys are of any type that has an order. Null keys, and null or wordless texts, are nobody's copies. Texts of under 12 words match texts of
     the same words only. Rows that repeat a key are one document; whoever filters by the result has to
     collapse them (``deduplicate`` does). Empty table: empty result. Other columns aren't read.
     """
@@ -258,10 +261,10 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     Copies go by an anti-join on their ids. Keys that stand in several rows keep one row each (the
     least by its columns' digest); only those rows are grouped. Null keys stay.
     """
-    gone = duplicates(docs, text=text, key=key).select(F.col("doc_id").alias("_gone"))
-    mark, digest = fresh(docs, "_repeated", "_digest")
+    mark, digest, out = fresh(docs, "_repeated", "_digest", "_gone")
+    gone = duplicates(docs, text=text, key=key).select(F.col("doc_id").alias(out))
     twice = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(mark)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(mark)
-    kept = docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col(key) == F.col(out), "left_anti")
     many = materialize(twice)
     if many.isEmpty():
         return kept

@@ -81,3 +81,12 @@ def test_edges_of_the_input(spark, make_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "7", "8", "None", "None"])
     assert kept.columns == docs.columns
     assert S.duplicates(docs.limit(0)).count() == 0 and S.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_keys_of_any_type_and_a_column_named_gone(spark, make_docs):
+    texts = ["one two three four five six seven eight nine ten eleven twelve thirteen"] * 3 + ["other words"]
+    docs = make_docs(texts).selectExpr("concat('u/', 9 - doc_id) as doc_id", "text", "lang as _gone", "source", "n_chars")
+    assert {tuple(r) for r in S.duplicates(docs).collect()} == {("u/8", "u/7", 3), ("u/9", "u/7", 3)}
+    kept = S.deduplicate(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {"u/7", "u/6"}
+    assert S.duplicates(docs.selectExpr("named_struct('a', doc_id) as doc_id", "text")).count() == 2
