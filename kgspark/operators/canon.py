@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as X
+from kgspark.store import cut
 
 AXES = ("polarity", "predicate", "key_term")
 MIN_DF, MIN_SUPPORT = 2, 2
@@ -52,7 +53,12 @@ def _mode(counted: DataFrame, value: str) -> DataFrame:
 
 
 def concepts(coords: DataFrame, *, domain: str | None = None) -> DataFrame:
-    """One row for each concept: sets, support, dominant axes, modal surface, label and example."""
+    """One row for each concept: sets, support, dominant axes, modal surface, label and example.
+
+    The coordinates are written once; four aggregates read the columns they need of them.
+    """
+    needed = ("concept_id", "polarity", "predicate", "key_term", "text", "source_urn", "span_start", "item_id", "surface", "modality", "quantification")
+    coords = cut(coords.select(*needed, *([domain] if domain else [])))
     axes = [F.min("polarity").alias("polarity"), F.min("predicate").alias("predicate"), F.min("key_term").alias("key_term")]
     example = F.min(F.when(F.col("text") != "", F.struct("source_urn", "span_start", "item_id", F.substring("text", 1, 200).alias("t"))))
     base = coords.groupBy("concept_id").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,36 @@ STRIP = ("the", "a", "an", "and", "or", "by", "of", "to", "for", "such", "any")
 JOINERS = ("and", "by", "for", "of", "or", "to")
 
 
+SUMMED = 256
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, k: a + k)
+
+
+def with_offsets(sizes: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body(offset), where offset(i) is the sum of the first i sizes.
+
+    Sums of blocks are made first, so that an offset adds up a block's sizes at most: many pieces of a
+    long text don't cost their square.
+    """
+
+    def summed(sizes: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(sizes) / SUMMED).cast("int"))
+        blocks = F.transform(numbers, lambda b: _total(F.slice(sizes, b * SUMMED + 1, F.lit(SUMMED))))
+        before = X.bind(blocks, lambda bs: F.transform(bs, lambda _, b: _total(F.slice(bs, F.lit(1), b))))
+        at = lambda before: lambda i: F.get(before, F.floor(i / SUMMED).cast("int")) + _total(F.slice(sizes, (F.floor(i / SUMMED) * SUMMED + 1).cast("int"), (i % SUMMED).cast("int")))
+        return X.bind(before, lambda b: body(at(b)))
+
+    return X.bind(sizes, summed)
+
+
 def _starts(pieces: Column, gaps: Column | None = None) -> Column:
     """Where each piece begins, given the pieces and what stood between them."""
     sizes = F.transform(pieces, F.length)
     if gaps is not None:
         sizes = F.zip_with(sizes, F.transform(gaps, F.length), lambda a, b: a + F.coalesce(b, F.lit(0)))
-    return F.transform(pieces, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, n: s + n))
+    return with_offsets(sizes, lambda offset: F.transform(pieces, lambda _, i: offset(i)))
 
 
 def _headed(c: Column, pattern: str, kind: str, prefix: str) -> Column:
@@ -109,14 +135,14 @@ def marked_sentences(unit: Column, profile: Profile) -> Column:
         seen = F.transform(bodies, lambda b, i: F.struct(i.alias("i"), b.alias("b"), X.bind(F.lower(b), lambda low: first_markers(low, profile)).alias("m")))
         marked = F.filter(seen, lambda x: x["m"].isNotNull() & (F.size(x["m"]) > 0))
 
-        def placed(sizes: Column) -> Column:
-            start = lambda i: (F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, k: a + k) + i).cast("int")
+        def placed(offset: Callable[[Column], Column]) -> Column:
+            start = lambda i: (offset(i) + i).cast("int")
             return F.transform(marked, lambda x: X.bind(start(x["i"]), lambda s: F.struct(
                 s.alias("s"), (s + F.length(x["b"]) + F.when(x["i"] < n - 1, 1).otherwise(0)).alias("e"),
                 _strip(F.when(x["i"] < n - 1, F.concat(x["b"], F.lit("."))).otherwise(x["b"])).alias("sentence"), x["m"].alias("m"),
             )))
 
-        return X.bind(F.transform(bodies, F.length), placed)
+        return with_offsets(F.transform(bodies, F.length), placed)
 
     return X.bind(F.split(unit, r"\."), of)
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as X
+from kgspark.store import cut
 
 K1, B, ALPHA = 1.5, 0.75, 0.6
 FACET_FIELDS = ("type", "polarity", "predicate", "modality", "quantification", "dimension", "domain", "library", "concept_id", "m")
@@ -22,9 +23,13 @@ def _equals(value: str) -> Callable[[Column], Column]:
 
 def facet_filter(docs: DataFrame, filters: dict[str, object]) -> DataFrame:
     """Documents of which every facet has the given value, as text; an unknown field matches none."""
-    out = docs
+    return docs.where(facet_condition(filters)) if filters else docs
+
+
+def facet_condition(filters: dict[str, object]) -> Column:
+    out = F.lit(True)
     for field, value in filters.items():
-        out = out.where(F.lit(field in FACET_FIELDS) & (F.try_element_at("facets", F.lit(field)) == str(value)))
+        out = out & F.lit(field in FACET_FIELDS) & (F.try_element_at("facets", F.lit(field)) == str(value))
     return out
 
 
@@ -34,21 +39,20 @@ def facet_counts(docs: DataFrame) -> DataFrame:
     return pairs.where(F.col("field").isin(*FACET_FIELDS)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bm25(docs: DataFrame, query: str, *, weights: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, raw) of every document that has a query term; statistics are over all documents.
+def query_terms(session: SparkSession, query: str) -> list[str]:
+    return [r[0] for r in session.range(1).select(F.explode(X.tokenize(F.lit(query))).alias("t")).collect()]
 
-    The query's few terms are literals, so term counts come from a scan, with no exploded table and
-    one global aggregate of as many sums as the query has terms. A term that the query repeats counts
-    each time.
-    """
-    session = docs.sparkSession
-    terms = [r[0] for r in session.range(1).select(F.explode(X.tokenize(F.lit(query))).alias("t")).collect()]
+
+def _term_counts(tokens: Column, terms: list[str]) -> list[Column]:
+    """Length and count of each distinct term of a document's tokens, made of the tokens once."""
+    row = X.bind(tokens, lambda tk: F.struct(F.size(tk).alias("dl"), F.filter(tk, lambda t: t.isin(*terms)).alias("own")))
+    fields = X.bind(row, lambda r: F.struct(r["dl"].alias("dl"), *[F.size(F.filter(r["own"], _equals(t))).alias(f"f{i}") for i, t in enumerate(terms)]))
+    return [fields.alias("_c")]
+
+
+def _scored(counted: DataFrame, terms: list[str], weights: dict[str, float] | None) -> DataFrame:
+    """counted (…, dl, f0, f1, …) with ``raw``, NULL where no term stands; statistics are over all rows."""
     distinct = list(dict.fromkeys(terms))
-    if not distinct:
-        return docs.select(key, F.lit(0.0).alias("raw")).limit(0)
-    tokens = X.tokenize(F.col(text))
-    row = X.bind(tokens, lambda tk: F.struct(F.size(tk).alias("dl"), F.filter(tk, lambda t: t.isin(*distinct)).alias("own")))
-    counted = docs.select(key, row.alias("r")).select(key, F.col("r.dl").alias("dl"), *[F.size(F.filter("r.own", _equals(t))).alias(f"f{i}") for i, t in enumerate(distinct)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     part = lambda i, t: (
         F.lit(terms.count(t) * float((weights or {}).get(t, 1.0)))
@@ -56,11 +60,26 @@ def bm25(docs: DataFrame, query: str, *, weights: dict[str, float] | None = None
         * (F.col(f"f{i}") * (K1 + 1))
         / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     )
-    total = F.lit(0.0)
+    total, hit = F.lit(0.0), F.lit(False)
     for i, t in enumerate(distinct):
         total = total + F.when(F.col(f"f{i}") > 0, part(i, t)).otherwise(0.0)
-    hit = F.greatest(*[F.col(f"f{i}") for i in range(len(distinct))]) > 0 if len(distinct) > 1 else F.col("f0") > 0
-    return counted.where(hit).crossJoin(F.broadcast(stats)).select(key, total.alias("raw"))
+        hit = hit | (F.col(f"f{i}") > 0)
+    return counted.crossJoin(F.broadcast(stats)).withColumn("raw", F.when(hit, total))
+
+
+def bm25(docs: DataFrame, query: str, *, weights: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, raw) of every document that has a query term; statistics are over all documents.
+
+    The query's few terms are literals, so texts are read and split once into counts of the terms, which
+    are written down: statistics and scores come from there. A term that the query repeats counts each
+    time.
+    """
+    terms = query_terms(docs.sparkSession, query)
+    distinct = list(dict.fromkeys(terms))
+    if not distinct:
+        return docs.select(key, F.lit(0.0).alias("raw")).limit(0)
+    counted = cut(docs.select(key, *_term_counts(X.tokenize(F.col(text)), distinct)).select(key, "_c.*"))
+    return _scored(counted, terms, weights).where("raw is not null").select(key, "raw")
 
 
 def search(
@@ -68,21 +87,26 @@ def search(
     dense: Callable[[Column], Column] | None = None, weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """Facets first, then BM25 divided by the best candidate's, fused with a dense cosine if there is
-    one; hits above 0 by score and doc_id. Without a query every candidate has score 1."""
-    candidates = facet_filter(docs, filters or {})
+    one; hits above 0 by score and doc_id, scores to six places. A query without a token finds every
+    candidate with score 1.
+
+    Texts are read once for the counts (and the cosine of candidates); the k hits then fetch what is shown.
+    """
+    own = facet_condition(filters or {})
     out = ("doc_id", "type", "canonical_urn", "domain", "library", "concept_id", F.substring("text", 1, 200).alias("snippet"))
     shown = [c for c in out if not isinstance(c, str) or c in docs.columns]
-    if not query.strip():
-        return candidates.select(F.lit(1.0).alias("score"), *shown).orderBy("doc_id").limit(k)
-    scores = bm25(docs, query, weights=weights)
-    if dense is None:
-        hits = candidates.join(scores, "doc_id")
-    else:
-        hits = candidates.join(scores, "doc_id", "left").withColumn("ds", X.cosine(dense(F.col("text")), dense(F.lit(query))))
+    terms = query_terms(docs.sparkSession, query)
+    if not terms:
+        return docs.where(own).select(F.lit(1.0).alias("score"), *shown).orderBy("doc_id").limit(k)
+    cosine = F.when(own, X.cosine(dense(F.col("text")), dense(F.lit(query)))) if dense else F.lit(None).cast("double")
+    counted = cut(docs.select("doc_id", F.coalesce(own, F.lit(False)).alias("_own"), cosine.alias("_ds"), *_term_counts(X.tokenize(F.col("text")), list(dict.fromkeys(terms)))).select("doc_id", "_own", "_ds", "_c.*"))
+    hits = _scored(counted, terms, weights).where("_own")
     best = hits.agg(F.max("raw").alias("best"))
     bm = F.coalesce(F.col("raw") / F.nullif(F.col("best"), F.lit(0.0)), F.lit(0.0))
-    score = bm if dense is None else alpha * bm + (1 - alpha) * F.col("ds")
-    return hits.crossJoin(F.broadcast(best)).withColumn("score", score).where("score > 0").select("score", *shown).orderBy(F.desc("score"), "doc_id").limit(k)
+    score = bm if dense is None else alpha * bm + (1 - alpha) * F.col("_ds")
+    top = hits.crossJoin(F.broadcast(best)).select("doc_id", score.alias("_exact")).where("_exact > 0").orderBy(F.desc("_exact"), "doc_id").limit(k)
+    found = docs.join(F.broadcast(top), "doc_id").where(own)
+    return found.orderBy(F.desc("_exact"), "doc_id").limit(k).select(F.round("_exact", 6).alias("score"), *shown)
 
 
 def doc_tokens(text: Column, facets: Column | None = None) -> Column:
@@ -112,10 +136,15 @@ def search_similar(docs: DataFrame, query: str | dict, *, k: int = 10, filters:
     q = query_tokens(query)
     facets = F.col("facets") if "facets" in docs.columns else None
     recency = F.col("recency") if "recency" in docs.columns else F.lit(0.0)
-    scored = facet_filter(docs, filters or {}).withColumn("_d", doc_tokens(F.col("text"), facets)).withColumn("_q", q)
-    shared = F.size(F.array_intersect("_q", "_d"))
-    sim = shared / (F.size("_q") + F.size("_d") - shared)
-    return scored.withColumn("score", F.when(shared > 0, sim)).where("score > 0").withColumn("_r", recency).orderBy(F.desc("score"), F.desc("_r"), "doc_id").limit(k).drop("_d", "_q", "_r")
+
+    def similarity(own: Column) -> Column:
+        shared = lambda d: F.size(F.array_intersect(q, d))
+        return X.bind(own, lambda d: X.bind(shared(d), lambda n: F.when(n > 0, n / (F.size(q) + F.size(d) - n))))
+
+    top = facet_filter(docs, filters or {}).select("doc_id", similarity(doc_tokens(F.col("text"), facets)).alias("score"), recency.alias("_r")).where("score > 0")
+    top = top.orderBy(F.desc("score"), F.desc("_r"), "doc_id").limit(k)
+    found = docs.join(F.broadcast(top), "doc_id").orderBy(F.desc("score"), F.desc("_r"), "doc_id").limit(k)
+    return found.select(*docs.columns, F.round("score", 6).alias("score"))
 
 
 def set_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, k: int) -> DataFrame:

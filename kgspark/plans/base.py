@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark import profiles
 from kgspark.operators import canon, extract
+from kgspark.store import cut, spread
 
 PROFILE = "synthetic"
 
@@ -15,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores where they come in one small file."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the documents; item ids come from the document, sources from its source column."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     found = extract.claims(docs, profiles.get(PROFILE), carry=("source", "lang"))
     return found.withColumnRenamed("source_urn", "doc").withColumnRenamed("source", "source_urn")
 
@@ -26,6 +32,11 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.coordinates(claims(spark, sf_dir), salience=False)
 
 
+def coordinates_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All claims with their coordinates, written once for plans that read them several times."""
+    return cut(coordinates(spark, sf_dir))
+
+
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 LOOK = r"(^|[^\p{{L}}\p{{N}}_]){}($|[^\p{{L}}\p{{N}}_])"
 

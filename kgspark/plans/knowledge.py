@@ -10,13 +10,14 @@ from kgspark.operators import canon as C
 from kgspark.operators import extract as E
 from kgspark.operators import graph as G
 from kgspark.operators import mining as M
-from kgspark.plans.base import CLAIMS, COORDS, PROFILE, STRIP, claims, coordinates, table
+from kgspark.plans.base import CLAIMS, COORDS, PROFILE, STRIP, claims, coordinates, coordinates_once, documents, table
+from kgspark.store import cut
 
 P = profiles.get(PROFILE)
 
 
 def segment_units(spark, sf):  # noqa: ANN001
-    u = E.units(table(spark, sf, "documents"))
+    u = E.units(documents(spark, sf))
     return u.select("doc_id", "unit_id", "unit_type", "start", "end", F.md5("text").alias("digest"))
 
 
@@ -33,11 +34,11 @@ def quantification_hist(spark, sf):  # noqa: ANN001
 
 
 def definitions_scan(spark, sf):  # noqa: ANN001
-    return E.definitions(table(spark, sf, "documents"), P).select("source_urn", "term", "term_slug")
+    return E.definitions(documents(spark, sf), P).select("source_urn", "term", "term_slug")
 
 
 def candidate_terms(spark, sf):  # noqa: ANN001
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select("doc_id", F.explode(X.candidate_terms(F.col("text"))).alias("c")).groupBy("c.quoted").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c.term").alias("terms"))
 
 
@@ -62,11 +63,11 @@ def canon_concepts(spark, sf):  # noqa: ANN001
 
 def canon_salient(spark, sf):  # noqa: ANN001
     """Concepts that corpus salience lets stand: quoted, or in two sources."""
-    return C.coordinates(claims(spark, sf)).groupBy("surface").agg(F.countDistinct("item_id").alias("n_claims"), F.countDistinct("source_urn").alias("n_sources"))
+    return C.coordinates(cut(claims(spark, sf))).groupBy("surface").agg(F.countDistinct("item_id").alias("n_claims"), F.countDistinct("source_urn").alias("n_sources"))
 
 
 def canon_unclustered(spark, sf):  # noqa: ANN001
-    all_ = claims(spark, sf)
+    all_ = cut(claims(spark, sf))
     return all_.join(C.coordinates(all_).select("item_id").distinct(), "item_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -85,21 +86,21 @@ def canon_morph(spark, sf):  # noqa: ANN001
 
 
 def canon_pairs_m2(spark, sf):  # noqa: ANN001
-    return C.pairs(coordinates(spark, sf))
+    return C.pairs(coordinates_once(spark, sf))
 
 
 def canon_composition_edges(spark, sf):  # noqa: ANN001
-    return C.composition_edges(C.pairs(coordinates(spark, sf)))
+    return C.composition_edges(C.pairs(coordinates_once(spark, sf)))
 
 
 def convergence_curve(spark, sf):  # noqa: ANN001
-    c = coordinates(spark, sf)
-    return C.convergence(claims(spark, sf), c).select("source_urn", "n_claims", "n_new", "n_distinct", F.round("mint_rate", 9).alias("mint_rate"))
+    c = coordinates_once(spark, sf)
+    return C.convergence(c, c).select("source_urn", "n_claims", "n_new", "n_distinct", F.round("mint_rate", 9).alias("mint_rate"))
 
 
 def convergence_global(spark, sf):  # noqa: ANN001
-    c = coordinates(spark, sf)
-    return C.convergence(claims(spark, sf), c, order=("lang", "source_urn")).select("lang", "source_urn", "n_new", "n_distinct")
+    c = coordinates_once(spark, sf)
+    return C.convergence(c, c, order=("lang", "source_urn")).select("lang", "source_urn", "n_new", "n_distinct")
 
 
 def canon_merge_domains(spark, sf):  # noqa: ANN001
@@ -127,11 +128,12 @@ def mention_edges(spark, sf):  # noqa: ANN001
 
 
 def suggest_confirm_min2(spark, sf):  # noqa: ANN001
-    return M.confirm(M.suggest(claims(spark, sf), _labels(spark)), min_sources=2)
+    return M.confirm(M.support(claims(spark, sf), _labels(spark)), min_sources=2)
 
 
 def _holdings(spark, sf):  # noqa: ANN001
-    return coordinates(spark, sf).select(F.col("source_urn").alias("urn"), F.col("source_urn").alias("domain"), "concept_id").distinct()
+    """(urn, domain, concept_id), written once: placement reads it for weights, norms and products."""
+    return cut(coordinates(spark, sf).select(F.col("source_urn").alias("urn"), F.col("source_urn").alias("domain"), "concept_id").distinct())
 
 
 def _scores(spark, sf):  # noqa: ANN001
@@ -181,24 +183,25 @@ def concept_audit(spark, sf):  # noqa: ANN001
 
 
 def escalation_budget(spark, sf):  # noqa: ANN001
-    all_ = claims(spark, sf)
+    all_ = cut(claims(spark, sf))
     return M.escalation_candidates(all_, C.coordinates(all_), budget=100).select("item_id")
 
 
 def models_for_source(spark, sf):  # noqa: ANN001
-    return G.models_for_source(claims(spark, sf), C.edges(coordinates(spark, sf)), "src7")
+    c = coordinates_once(spark, sf)
+    return G.models_for_source(c, C.edges(c), "src7")
 
 
 def sources_for_model(spark, sf):  # noqa: ANN001
     """Concepts of 15 sources or more with their number; sources_for_model_all has the sources, of every concept."""
-    c = coordinates(spark, sf)
-    edges = C.edges(c)
-    n = G.models_for_source(claims(spark, sf), edges).groupBy("concept_id").agg(F.countDistinct("source_urn").alias("n_sources"))
+    c = coordinates_once(spark, sf)
+    n = G.models_for_source(c, C.edges(c)).groupBy("concept_id").agg(F.countDistinct("source_urn").alias("n_sources"))
     return n.where("n_sources >= 15")
 
 
 def sources_for_model_all(spark, sf):  # noqa: ANN001
-    return G.models_for_source(claims(spark, sf), C.edges(coordinates(spark, sf))).select("concept_id", "source_urn")
+    c = coordinates_once(spark, sf)
+    return G.models_for_source(c, C.edges(c)).select("concept_id", "source_urn")
 
 
 def orphan_claims(spark, sf):  # noqa: ANN001
@@ -207,9 +210,9 @@ def orphan_claims(spark, sf):  # noqa: ANN001
 
 
 def orphan_edges(spark, sf):  # noqa: ANN001
-    c = coordinates(spark, sf)
+    c = coordinates_once(spark, sf)
     known = c.where("polarity = 'D'").select("concept_id").distinct()
-    return G.orphan_edges(claims(spark, sf).where("lang <> 'fr'"), known, C.edges(c))
+    return G.orphan_edges(c.where("lang <> 'fr'"), known, C.edges(c))
 
 
 def edge_contract_violations(spark, sf):  # noqa: ANN001
@@ -242,13 +245,14 @@ def materialize_claims(spark, sf):  # noqa: ANN001
 
 
 def graph_nodes(spark, sf):  # noqa: ANN001
-    c = coordinates(spark, sf)
+    c = coordinates_once(spark, sf)
     concepts = c.select("concept_id", F.col("concept_id").alias("label")).distinct()
-    return G.payload_nodes(claims(spark, sf), concepts, claims(spark, sf).select("source_urn").distinct())
+    return G.payload_nodes(c, concepts, c.select("source_urn").distinct())
 
 
 def graph_edges(spark, sf):  # noqa: ANN001
-    return G.payload_edges(claims(spark, sf), C.edges(coordinates(spark, sf))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("ends"))
+    c = coordinates_once(spark, sf)
+    return G.payload_edges(c, C.edges(c)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("ends"))
 
 
 QUERIES = (
@@ -294,7 +298,7 @@ SELECT concept_id, coalesce(nullif(trim(replace(coalesce(nullif({_MODE.format(c=
     "convergence_global": _N + ", f AS (SELECT concept_id, min((lang, source_urn)) AS s FROM named GROUP BY 1), n AS (SELECT s[1] AS lang, s[2] AS source_urn, count(*) AS n_new FROM f GROUP BY 1, 2), c AS (SELECT DISTINCT lang, source_urn FROM claims) SELECT lang, source_urn, coalesce(n_new, 0) AS n_new, sum(coalesce(n_new, 0)) OVER (ORDER BY lang, source_urn)::BIGINT AS n_distinct FROM c LEFT JOIN n USING (lang, source_urn)",
     "canon_merge_domains": _N + ", p AS (SELECT lang, concept_id, count(DISTINCT source_urn) AS n_sources, count(DISTINCT item_id) AS n_claims FROM named GROUP BY 1, 2) SELECT concept_id, count(*) AS n_domains, sum(n_sources)::BIGINT AS n_sources, sum(n_claims)::BIGINT AS n_claims, string_agg(lang, ',' ORDER BY lang) AS domains FROM p GROUP BY 1 HAVING count(*) > 1",
     "mint_curve": _N + ", s AS (SELECT DISTINCT doc::BIGINT AS ord, concept_id FROM named), f AS (SELECT concept_id, min(ord) AS ord FROM s GROUP BY 1) SELECT d.ord, count(f.concept_id) AS n_new FROM (SELECT DISTINCT ord FROM s) d LEFT JOIN f USING (ord) GROUP BY 1",
-    "mention_edges": _C + _MENTIONS + "SELECT 'sug-' || substr(sha1(item_id || concept_id), 1, 10) AS edge_id, item_id AS src_id, concept_id AS dst_id, 'grounds' AS edge_type, 'mention' AS rationale, 'suggested' AS verification FROM men",
+    "mention_edges": _C + _MENTIONS + "SELECT 'sug-' || substr(sha1(item_id || concept_id), 1, 10) AS edge_id, item_id AS src_id, concept_id AS dst_id, 'grounds' AS edge_type, 'mention' AS rationale, '' AS confidence, 'suggested' AS verification FROM men",
     "suggest_confirm_min2": _C + _MENTIONS + "SELECT concept_id, count(DISTINCT item_id) AS n_claims, count(DISTINCT source_urn) AS n_sources FROM men GROUP BY 1 HAVING count(DISTINCT source_urn) >= 2",
     "placement_nearest_sources": _SCORES + "SELECT urn, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, urn DESC LIMIT 5",
     "placement_rank_domains": _SCORES + "SELECT urn AS domain, round(score, 6) AS score, urn AS nearest_source FROM sc ORDER BY sc.score DESC, urn LIMIT 5",

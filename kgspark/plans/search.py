@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as X
 from kgspark.operators import retrieve as R
-from kgspark.plans.base import table, tokens_sql, urn_docs
+from kgspark.plans.base import documents, table, tokens_sql, urn_docs
 
 QUERY = "license apache the the"
 WEIGHTS = {"the": 0.25, "version": 2.0}
 
 
 def _docs(spark, sf):  # noqa: ANN001
-    return urn_docs(table(spark, sf, "documents"))
+    return urn_docs(documents(spark, sf))
 
 
 def _score(df):  # noqa: ANN001
-    return df.select("doc_id", F.round("score", 9).alias("score"), "snippet")
+    return df.select("doc_id", "score", "snippet")
 
 
 def bm25_topk(spark, sf):  # noqa: ANN001
@@ -43,11 +43,11 @@ def facet_counts(spark, sf):  # noqa: ANN001
 
 
 def jaccard_topk(spark, sf):  # noqa: ANN001
-    return R.search_similar(_docs(spark, sf), {"summary": "the license of the apache version", "keywords": ["mit", "was"]}).select("doc_id", F.round("score", 9).alias("score"))
+    return R.search_similar(_docs(spark, sf), {"summary": "the license of the apache version", "keywords": ["mit", "was"]}).select("doc_id", "score")
 
 
 def jaccard_facet(spark, sf):  # noqa: ANN001
-    return R.search_similar(_docs(spark, sf), "der die das nicht und", filters={"domain": "de"}).select("doc_id", F.round("score", 9).alias("score"))
+    return R.search_similar(_docs(spark, sf), "der die das nicht und", filters={"domain": "de"}).select("doc_id", "score")
 
 
 def jaccard_set_join(spark, sf):  # noqa: ANN001
@@ -106,7 +106,7 @@ stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM counted),
 scored AS (SELECT doc_id, text, lang, source, tk, CASE WHEN {hit} THEN {part} END AS raw FROM counted, stats),
 cand AS (SELECT *, max(raw) OVER () AS best FROM scored WHERE {where}),
 final AS (SELECT doc_id, {final} AS s, text FROM cand)
-SELECT doc_id, round(s, 9) AS score, substr(text, 1, 200) AS snippet FROM final WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 10"""
+SELECT doc_id, round(s, 6) AS score, substr(text, 1, 200) AS snippet FROM final WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 10"""
 
 
 _SLOT = "('0x' || substr(sha1(t), 39, 2))::INTEGER % 64"
@@ -119,7 +119,7 @@ def _jaccard_sql(tokens: list[str], where: str = "true") -> str:
     return f"""
 WITH d AS (SELECT doc_id, list_distinct(list_concat({tokens_sql("text")}, list_concat(['claim'], list_concat({tokens_sql("lang")}, {tokens_sql("source")})))) AS t FROM documents WHERE {where}),
 s AS (SELECT doc_id, len(list_intersect({q}, t)) AS k, len(t) AS n FROM d)
-SELECT doc_id, round(k / ({len(tokens)} + n - k), 9) AS score FROM s WHERE k > 0 ORDER BY k / ({len(tokens)} + n - k) DESC, doc_id LIMIT 10"""
+SELECT doc_id, round(k / ({len(tokens)} + n - k), 6) AS score FROM s WHERE k > 0 ORDER BY k / ({len(tokens)} + n - k) DESC, doc_id LIMIT 10"""
 
 
 ORACLES = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that the session names; a local one only where it names none."""
+    """A new path in the folder that the session names. Where it names none, a local master gets a
+    temporary one, which goes when Python ends; on a cluster, whose disks aren't shared, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kgspark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        local = tempfile.mkdtemp(prefix="kgspark-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = "file://" + local
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -23,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer files and splits than there are cores is dealt out to all of them;
+    a large one is left as it is, so this never shuffles more than a split for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df._jdf.queryExecution().toRdd().getNumPartitions() <= cores:
+        return df.repartition(cores)
+    return df

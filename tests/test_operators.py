@@ -156,7 +156,7 @@ def test_mentions_respect_words_and_plurals(spark):
     c = spark.createDataFrame([("1", "a", "Data  subjects rule"), ("2", "b", "metadata subject"), ("3", "c", "a data subject."), ("4", "c", None)], "item_id string, source_urn string, text string")
     labels = spark.createDataFrame([("data-subject", "data subject"), ("rule", "rule"), ("empty", "")], "concept_id string, label string")
     assert {tuple(r) for r in M.mentions(c, labels).collect()} == {("1", "a", "data-subject"), ("3", "c", "data-subject"), ("1", "a", "rule")}
-    assert [tuple(r) for r in M.confirm(M.suggest(c, labels), min_sources=2).collect()] == [("data-subject", 2, 2)]
+    assert [tuple(r) for r in M.confirm(M.support(c, labels), min_sources=2).collect()] == [("data-subject", 2, 2)]
 
 
 def test_placement_prefers_rare_shared_concepts(spark):
