@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.plans import context, knowledge, search
+from kgspark.plans import context, knowledge, lifecycle, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS: tuple[ModuleType, ...] = (search, knowledge, context)
+AREAS: tuple[ModuleType, ...] = (search, knowledge, context, lifecycle)
 
 
 def queries() -> dict[str, Query]:

@@ -115,6 +115,13 @@ def composition_edges(found: DataFrame) -> DataFrame:
     )
 
 
+def domain_partials(claims: DataFrame, *, domain: str = "domain", salience: bool = True) -> DataFrame:
+    """(domain, concept_id, n_claims, n_sources): a canon of each domain by itself, salience within the
+    domain, as rows that ``merge_domains`` adds up."""
+    c = coordinates(claims, salience=salience, by=(domain,) if salience else ())
+    return c.groupBy(F.col(domain).alias("domain"), "concept_id").agg(F.countDistinct("item_id").alias("n_claims"), F.countDistinct("source_urn").alias("n_sources"))
+
+
 def merge_domains(partials: DataFrame) -> DataFrame:
     """One row for each concept out of rows for each domain: (concept_id, n_domains, n_sources, n_claims, domains)."""
     return partials.groupBy("concept_id").agg(F.countDistinct("domain").alias("n_domains"), F.sum("n_sources").alias("n_sources"), F.sum("n_claims").alias("n_claims"), F.array_sort(F.collect_set("domain")).alias("domains"))

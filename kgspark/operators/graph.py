@@ -134,16 +134,98 @@ def overlay_notes(claims: DataFrame) -> DataFrame:
 
 
 def graph_version(rows: dict[str, DataFrame]) -> DataFrame:
-    """(version): SHA-256 over the digests of all rows of all tables, in order of the digests; where
-    files lie and the order of rows don't matter."""
+    """(version): a digest of all rows of all tables, whatever their order and where their files lie.
+
+    A row's digest is that of its table's name and a JSON object of its columns as text, by name, so
+    values can't run into each other. Digests are added up, in four parts of 64 bits as whole numbers,
+    so no task or driver holds more than one sum, and repeated rows count.
+    """
     parts = None
     for name, df in sorted(rows.items()):
-        cols = sorted(c for c in df.columns if c not in ("library", "path"))
-        one = df.select(F.sha2(F.concat_ws("|", F.lit(name), *[F.concat(F.lit(c + "="), X.text(F.col(c).cast("string"))) for c in cols]), 256).alias("h"))
-        parts = one if parts is None else parts.unionByName(one)
-    # digests are combined by prefix first, so that no task holds them all
-    buckets = parts.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("version"))
+        cols = sorted(c for c in df.columns if c not in ARRANGEMENT)
+        one = F.to_json(F.struct(F.lit(name).alias("table"), F.struct(*[X.text(F.col(c).cast("string")).alias(c) for c in cols]).alias("row")))
+        hashed = df.select(F.sha2(one, 256).alias("h"))
+        parts = hashed if parts is None else parts.unionByName(hashed)
+    number = lambda i: F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")
+    total = parts.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(number(i)), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)])
+    return total.select(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[f"s{i}" for i in range(4)]), 256)).alias("version"))
+
+
+ARRANGEMENT = ("library", "path")
+
+
+def require_version(stamped: DataFrame) -> str:
+    """The stamped version, or an error if the store was never stamped."""
+    rows = stamped.select("version").limit(2).collect()
+    if len(rows) != 1 or not 1 <= len((rows[0]["version"] or "").strip()) <= 256:
+        raise ValueError("the store has no stamped graph version")
+    return rows[0]["version"]
+
+
+def concept_rows(coords: DataFrame, *, label: str = "concept_id", domain: str = "domain", library: str = "library") -> DataFrame:
+    """(canonical_urn, library, concept_id, label, domain, created_by): each concept of each source once,
+    with the library and domain of its first claim by place."""
+    first = F.min(F.struct("span_start", "item_id", F.col(library).alias("l"), F.col(domain).alias("d")))
+    found = coords.groupBy(F.col("source_urn").alias("canonical_urn"), "concept_id").agg(first.alias("f"), F.min(label).alias("label"))
+    return found.select("canonical_urn", F.col("f.l").alias("library"), "concept_id", "label", F.col("f.d").alias("domain"), F.lit("curation:coordinate").alias("created_by"))
+
+
+# --- reports
+
+
+def status(claims: DataFrame, *, top: int = 8) -> DataFrame:
+    """(domain, n_claims, n_works): the domains of most claims, and all of them together as domain NULL."""
+    per = claims.groupBy("domain").agg(F.count(F.lit(1)).alias("n_claims"), F.countDistinct("canonical_urn").alias("n_works"))
+    whole = claims.agg(F.lit(None).cast("string").alias("domain"), F.count(F.lit(1)).alias("n_claims"), F.countDistinct("canonical_urn").alias("n_works"))
+    return per.orderBy(F.desc("n_claims"), "domain").limit(top).unionByName(whole)
+
+
+def urn_card(claims: DataFrame, urn: str, *, sample: int = 5) -> DataFrame:
+    """(canonical_urn, domain, n_claims, dimensions, sample): a source at a glance: its counts without
+    zeros, and its first claims by place."""
+    own = claims.where(F.col("canonical_urn") == urn)
+    counts = own.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "n")))).alias("dimensions"))
+    few = own.orderBy("span_start", "item_id").limit(sample).select(F.struct("span_start", "item_id", F.concat(F.lit("["), F.concat_ws("/", "polarity", "predicate", "modality"), F.lit("] "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 90)).alias("t")).alias("s"))
+    shown = few.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]).alias("sample"))
+    head = own.agg(F.first("canonical_urn").alias("canonical_urn"), F.min("domain").alias("domain"), F.count(F.lit(1)).alias("n_claims")).where("n_claims > 0")
+    return head.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(shown))
+
+
+def term_mentions(claims: DataFrame, term: str) -> DataFrame:
+    """(canonical_urn, domain, n): claims of each source that hold the term, whatever its case."""
+    return claims.where(F.contains(F.lower(X.text("text")), F.lit(term.lower()))).groupBy("canonical_urn").agg(F.min("domain").alias("domain"), F.count(F.lit(1)).alias("n"))
+
+
+# --- projections of other systems
+
+
+def projection_violations(nodes: DataFrame, relations: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, violation) of a foreign system's nodes (node_id) and relations (relation_id, source_id,
+    target_id, local_predicate): repeated ids, unknown ends, predicates that the mapping lacks."""
+    twice = lambda df, key, what: df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(what).alias("violation"))
+    out = twice(nodes, "node_id", "node id repeats").unionByName(twice(relations, "relation_id", "relation id repeats"))
+    for end in ("source_id", "target_id"):
+        lost = relations.join(nodes.select(F.col("node_id").alias(end)).distinct(), end, "left_anti")
+        out = out.unionByName(lost.select(F.col("relation_id").alias("id"), F.lit(f"unknown {end}").alias("violation")))
+    unmapped = relations.join(F.broadcast(mapping.select("local_predicate").distinct()), "local_predicate", "left_anti")
+    return out.unionByName(unmapped.select(F.col("relation_id").alias("id"), F.lit("predicate has no mapping").alias("violation")))
+
+
+def mapping_violations(mapping: DataFrame) -> DataFrame:
+    """(local_predicate, violation) of a mapping (local_predicate, dimension, semantic_role)."""
+    bad = F.filter(F.array(F.when(X.text("local_predicate") == "", F.lit("predicate is empty")), F.when(~F.coalesce(F.col("dimension"), F.lit("")).isin(*DIMENSIONS), F.lit("unknown dimension"))), lambda x: x.isNotNull())
+    return mapping.select("local_predicate", F.explode(bad).alias("violation"))
+
+
+def projection_edges(relations: DataFrame, mapping: DataFrame, system_id: str, version: str) -> DataFrame:
+    """Semantic edges of a foreign system's relations, by the mapping of its predicates; a predicate that
+    has none ends the job."""
+    named = relations.join(F.broadcast(mapping.select("local_predicate", "dimension", "semantic_role")), "local_predicate", "left")
+    known = F.when(F.col("dimension").isNull(), F.raise_error(F.concat(F.lit("no mapping for relation "), "local_predicate"))).otherwise(F.col("dimension"))
+    return named.select(
+        F.col("relation_id").alias("edge_id"), F.col("source_id").alias("src_id"), F.col("target_id").alias("dst_id"), F.lit("system_relation").alias("edge_type"), F.lit("semantic").alias("edge_family"),
+        known.alias("dimension"), "semantic_role", "local_predicate", F.lit(system_id).alias("system_id"), F.lit(version).alias("system_version"), F.lit("attested").alias("verification"),
+    )
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -273,12 +273,13 @@ ORACLES = {
     "subgraph_nodes": _TURN + "SELECT conv_id::VARCHAR AS idempotency_key, pos::INTEGER AS pos, id AS node_id, role AS node_type FROM c",
     "subgraph_checks": "SELECT 'node has an undeclared axis' AS violation, count(DISTINCT conv_id) AS n FROM conversations",
     "subgraph_upsert": "SELECT DISTINCT conv_id::VARCHAR AS idempotency_key, CASE WHEN conv_id % 10 = 0 THEN 'conflict' WHEN conv_id % 2 = 0 THEN 'unchanged' ELSE 'created' END AS status FROM conversations",
-    "record_touching_relations": _TURN + "SELECT id AS node_id, (CASE WHEN pos > 0 THEN 1 ELSE 0 END + CASE WHEN pos < k - 1 THEN 1 ELSE 0 END)::INTEGER AS n_relations, CASE WHEN k > 1 THEN 1 ELSE 0 END::INTEGER AS n_evidence FROM c",
+    "record_touching_relations": _TURN + "SELECT id AS node_id, (CASE WHEN pos > 0 THEN 1 ELSE 0 END + CASE WHEN pos < k - 1 THEN 1 ELSE 0 END)::INTEGER AS n_relations, 1::INTEGER AS n_evidence FROM c",
     "runtime_facts": f"SELECT sha256(n_name || chr(31) || 'part of' || chr(31) || r_name || chr(31) || 'structural' || chr(31) || 'a') AS idempotency_key, 'entity:' || {_SLUG.format('n_name')} AS source, 'entity:' || {_SLUG.format('r_name')} AS target, 'part of' AS relation_type, 'structural' AS dimension, 'a' AS actor FROM nation JOIN region ON n_regionkey = r_regionkey",
     "dedup_capture": "SELECT printf('%08d.txt', doc_id) AS path, sha1(text) AS sha1, CASE WHEN row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) = 1 THEN 'admitted' ELSE 'duplicate' END AS status FROM documents",
     "duplicate_families": "WITH d AS (SELECT md5(text) AS canonical_urn, source || '/' || doc_id AS path FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY canonical_urn) AS n, row_number() OVER (PARTITION BY canonical_urn ORDER BY length(path), path) = 1 AS keeper FROM d) SELECT canonical_urn, path, keeper, n FROM n WHERE n > 1",
     "sync_plan": "SELECT source || '/' || doc_id AS path, CASE source WHEN 'src1' THEN 'new' WHEN 'src4' THEN 'removed' WHEN 'src2' THEN 'changed' ELSE 'unchanged' END AS action FROM documents",
     "year_from_text": "SELECT CASE WHEN year(o_orderdate::DATE) BETWEEN 1500 AND 2030 THEN year(o_orderdate::DATE) END::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1",
+    "events_chain_check": "WITH l AS (SELECT row_number() OVER (ORDER BY event_id) AS s, user_id AS u FROM events), b AS (SELECT lag(s) OVER (PARTITION BY u ORDER BY s) AS p FROM l) SELECT 'sequence has gaps' AS violation, 1::BIGINT AS n, 'bad' AS log UNION ALL SELECT 'altered payload', 1, 'bad' UNION ALL SELECT 'broken chain', count(*), 'bad' FROM b WHERE p = 100 HAVING count(*) > 0",
     "url_identity": "SELECT page_id, 'urn:web:url:' || substr(regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1) || '-' || regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS urn FROM pages",
     "registry_reuse": "SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN 'urn:x:' || doc_id END AS canonical_urn, CASE lang WHEN 'de' THEN 'path' WHEN 'fr' THEN 'filename' END AS provenance FROM documents",
     "missing_from_registry": "SELECT source || '/' || doc_id || '.txt' AS relpath, doc_id AS ord FROM documents WHERE lang = 'en'",

@@ -10,7 +10,7 @@ from kgspark.operators import canon as C
 from kgspark.operators import extract as E
 from kgspark.operators import graph as G
 from kgspark.operators import mining as M
-from kgspark.plans.base import CLAIMS, COORDS, PROFILE, STRIP, claims, coordinates, coordinates_once, documents, table
+from kgspark.plans.base import CANON_WORDS, CLAIMS, COORDS, PROFILE, STRIP, _C as _CAPS, _edges, _Q, claims, coordinates, coordinates_once, documents, slug_sql, sql_list, table
 from kgspark.store import cut
 
 P = profiles.get(PROFILE)
@@ -34,7 +34,11 @@ def quantification_hist(spark, sf):  # noqa: ANN001
 
 
 def definitions_scan(spark, sf):  # noqa: ANN001
-    return E.definitions(documents(spark, sf), P).select("source_urn", "term", "term_slug")
+    """Definitions before the documents' texts, as the prose itself defines nothing: of quoted terms with
+    stopwords at their edges, an umlaut, a second definition of the same slug, and one of too many words."""
+    kinds = ("The “the Data Subject” means x. “data subject” means y.", "“Größe of Daten” is defined as z; “Größe” means w.", "“one two three four five” means v.", "“Of” means u. “Data by” means t.")
+    docs = documents(spark, sf).withColumn("text", F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 4 + 1).cast("int")), F.lit("\n"), "text"))
+    return E.definitions(docs, profiles.get("generic")).select("source_urn", "term", "term_slug")
 
 
 def candidate_terms(spark, sf):  # noqa: ANN001
@@ -277,7 +281,53 @@ _SCORES = _N + """, h AS (SELECT DISTINCT source_urn AS urn, concept_id FROM nam
 q AS (SELECT concept_id, w FROM h JOIN k USING (concept_id) WHERE urn = 'src4'), sn AS (SELECT urn, sqrt(sum(w * w)) AS sn FROM h JOIN k USING (concept_id) GROUP BY 1),
 d AS (SELECT h.urn, sum(q.w * q.w) AS dot FROM h JOIN q USING (concept_id) GROUP BY 1), sc AS (SELECT urn, dot / (sn * (SELECT sqrt(sum(w * w)) FROM q)) AS score FROM d JOIN sn USING (urn) WHERE urn <> 'src4' AND dot > 0) """
 
+_WORD35 = "[^-]{35,}"
+_FINE = f"x <> '' AND x NOT IN ({CANON_WORDS}) AND NOT regexp_matches(x, '{_WORD35}')"
+
+
+def _candidates(rows: str) -> str:
+    """(…, terms) of rows with a text: quoted terms, then capitalised phrases that aren't quoted, as structs."""
+    return f"""
+found_ AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(text, '{_Q}', 1), lambda y: {slug_sql(_edges("y"))}), lambda x: {_FINE})) AS qs,
+  list_distinct(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(text, '{_CAPS}', 1), lambda y: {_edges("y")}), lambda y: contains(y, ' ')), lambda y: {slug_sql("y")}), lambda x: {_FINE})) AS cs FROM {rows}),
+cand_ AS (SELECT * EXCLUDE (qs, cs), unnest(list_concat(list_transform(qs, lambda x: {{'term': x, 'quoted': true}}), list_transform(list_filter(cs, lambda x: NOT list_contains(qs, x)), lambda x: {{'term': x, 'quoted': false}}))) AS c FROM found_)"""
+
+
+_SALIENT = "WITH " + CLAIMS + "," + _candidates("claims") + """, term_ AS (SELECT c.term AS term FROM cand_ GROUP BY 1 HAVING bool_or(c.quoted) OR count(DISTINCT source_urn) >= 2),
+pick_ AS (SELECT item_id, source_urn, lang, arg_min(c.term, (-length(c.term), c.term)) AS surface FROM cand_ WHERE c.term IN (SELECT term FROM term_) GROUP BY ALL) """
+_MINED = sorted(profiles.MINING_WORDS | M.marker_tokens([PROFILE]))
+_PLAIN = "strip_accents(replace(replace(replace(replace(replace(replace(replace(lower({0}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'))"
+_MINE = "WITH " + CLAIMS + f""", tok AS MATERIALIZED (SELECT item_id, source_urn, regexp_extract_all(text, '[\\p{{L}}]+', 0) AS o FROM claims),
+worded AS (SELECT * FROM tok WHERE len(o) > 0), tot AS (SELECT count(*) AS total FROM worded),
+freq AS (SELECT t FROM (SELECT item_id, unnest(list_distinct(list_transform(o, lambda x: lower(x)))) AS t FROM worded) GROUP BY 1 HAVING count(*) > (SELECT total FROM tot) / 3.0),
+word AS (SELECT item_id, source_urn, i, w, lower(w) AS w0 FROM (SELECT item_id, source_urn, unnest(o) AS w, generate_subscripts(o, 1) AS i FROM worded)),
+flag AS (SELECT item_id, source_urn, i, w AS o, length(w0) >= 3 AS l, length(w0) >= 3 AND w0 NOT IN ({sql_list(_MINED)}) AND {_PLAIN.format("w0")} NOT IN ({sql_list(_MINED)}) AND w0 NOT IN (SELECT t FROM freq) AS e, (SELECT {_STEM} FROM (SELECT w0 AS w)) AS st FROM word),
+g AS (SELECT item_id, source_urn, i, 1 AS n, st AS gram, o AS variant FROM flag WHERE e
+  UNION ALL SELECT a.item_id, a.source_urn, a.i, 2, a.st || ' ' || b.st, a.o || ' ' || b.o FROM flag a JOIN flag b ON a.item_id = b.item_id AND b.i = a.i + 1 WHERE a.e AND b.e
+  UNION ALL SELECT a.item_id, a.source_urn, a.i, 3, a.st || ' ' || b.st || ' ' || c.st, a.o || ' ' || b.o || ' ' || c.o FROM flag a JOIN flag b ON a.item_id = b.item_id AND b.i = a.i + 1 JOIN flag c ON a.item_id = c.item_id AND c.i = a.i + 2 WHERE a.e AND b.l AND c.e),
+s AS (SELECT gram, n, count(DISTINCT item_id) AS n_claims, count(DISTINCT source_urn) AS n_sources FROM g GROUP BY 1, 2),
+good AS (SELECT * FROM s, tot WHERE n_sources >= 2 AND n_claims >= 3 AND n_claims / total <= 1 / 3 AND total >= 3),
+k3 AS (SELECT * FROM good WHERE n = 3), k2 AS (SELECT * FROM good a WHERE n = 2 AND NOT EXISTS (SELECT 1 FROM k3 b WHERE (b.gram LIKE a.gram || ' %' OR b.gram LIKE '% ' || a.gram) AND b.n_claims >= 0.8 * a.n_claims)),
+up AS (SELECT * FROM k3 UNION ALL SELECT * FROM k2), k1 AS (SELECT * FROM good a WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM up b WHERE list_contains(string_split(b.gram, ' '), a.gram) AND b.n_claims >= 0.8 * a.n_claims)),
+best AS (SELECT * FROM (SELECT * FROM up UNION ALL SELECT * FROM k1) ORDER BY n_sources DESC, n_claims DESC, string_split(gram, ' ') LIMIT 40),
+f AS (SELECT gram, variant, count(*) AS c FROM (SELECT item_id, gram, arg_min(variant, i) AS variant FROM g WHERE gram IN (SELECT gram FROM best) GROUP BY 1, 2) GROUP BY 1, 2)
+SELECT substr(regexp_replace(regexp_replace({_PLAIN.format("gram")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS concept_id, (SELECT arg_min(variant, (-c, variant)) FROM f WHERE f.gram = best.gram) AS label, n_claims, n_sources FROM best"""
+_ALL_SCORES = _N + """, h AS (SELECT DISTINCT source_urn AS urn, concept_id FROM named), k AS (SELECT concept_id, ln((SELECT count(DISTINCT urn) FROM h) / count(*)) AS w FROM h GROUP BY 1),
+hw AS (SELECT urn, concept_id, w * w AS w FROM h JOIN k USING (concept_id) WHERE w > 0), nn AS (SELECT urn, sqrt(sum(w)) AS n FROM hw GROUP BY 1), d AS (SELECT a.urn AS query, b.urn, sum(a.w) AS dot FROM hw a JOIN hw b ON a.concept_id = b.concept_id AND a.urn <> b.urn GROUP BY 1, 2),
+sc AS (SELECT query, d.urn, dot / (x.n * y.n) AS score FROM d JOIN nn x ON x.urn = d.query JOIN nn y ON y.urn = d.urn) """
+
 ORACLES = {
+    "definitions_scan": "SELECT doc_id::VARCHAR AS source_urn, CASE doc_id % 4 WHEN 0 THEN 'Data Subject' ELSE t END AS term, CASE doc_id % 4 WHEN 0 THEN 'data-subject' ELSE g END AS term_slug FROM documents LEFT JOIN (VALUES (1, 'Größe of Daten', 'groesse-of-daten'), (1, 'Größe', 'groesse')) v(k, t, g) ON k = doc_id % 4 WHERE doc_id % 4 IN (0, 1)",
+    "candidate_terms": "WITH " + _candidates("documents") + " SELECT c.quoted AS quoted, count(*) AS n, count(DISTINCT c.term) AS terms FROM cand_ GROUP BY 1",
+    "canon_salient": _SALIENT + "SELECT surface, count(DISTINCT item_id) AS n_claims, count(DISTINCT source_urn) AS n_sources FROM pick_ GROUP BY 1",
+    "canon_unclustered": _SALIENT + "SELECT lang, count(*) AS n FROM claims WHERE item_id NOT IN (SELECT item_id FROM pick_) GROUP BY 1",
+    "escalation_budget": _SALIENT + "SELECT item_id FROM claims ORDER BY item_id IN (SELECT item_id FROM pick_), item_id LIMIT 100",
+    "mine_ngrams_maximal": _MINE,
+    "placement_nearest_sources_all": _ALL_SCORES + "SELECT query, urn, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, urn DESC) AS n FROM sc) WHERE n <= 5",
+    "placement_rank_domains_all": _ALL_SCORES + "SELECT query, urn AS domain, round(score, 6) AS score, urn AS nearest_source FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, urn) AS n FROM sc) WHERE n <= 5",
+    "placement_tier_all": _ALL_SCORES + ", t AS (SELECT query, list(score ORDER BY score DESC) AS s FROM sc GROUP BY 1), q AS (SELECT DISTINCT source AS query FROM documents WHERE source IS NOT NULL) SELECT query, CASE WHEN coalesce(s[1], 0) < 0.02 THEN 'local-llm' WHEN s[1] - coalesce(s[2], 0) >= 0.5 * s[1] THEN 'regex' ELSE 'local-llm' END AS tier FROM q LEFT JOIN t USING (query)",
+    "sources_for_model_all": _N + "SELECT DISTINCT concept_id, source_urn FROM named",
+    "edge_contract_violations_all": _C + "SELECT CASE WHEN substr(regexp_extract(source_urn, '[0-9]+'), -1, 1) IN ('1', '3', '5', '7', '9') THEN 'semantic_role required' ELSE 'type invalid for family' END AS violation, count(*) AS n FROM claims GROUP BY 1",
     "segment_units": f"SELECT doc_id, 'para-0' AS unit_id, 'paragraph' AS unit_type, 0 AS start, length(text)::INTEGER AS \"end\", md5({STRIP.format('text')}) AS digest FROM documents WHERE length({STRIP.format('text')}) >= 40",
     "claims_extract": _C + "SELECT item_id, doc, source_urn, span_start, span_end, marker, text, polarity, type, predicate, modality, quantification, dimension FROM claims",
     "claims_by_predicate": _C + "SELECT lang, predicate, polarity, count(*) AS n, count(DISTINCT doc) AS docs FROM claims GROUP BY ALL",

@@ -139,6 +139,10 @@ SELECT l, r, round(sim, 9) AS sim, rank FROM n WHERE rank <= 3""",
     "dense_cosine_topk": """
 WITH p AS (SELECT e.vec_id, list_transform(e.embedding, lambda x: x::DOUBLE) AS a, list_transform(q.embedding, lambda x: x::DOUBLE) AS b FROM embeddings e, embeddings q WHERE q.vec_id = 0)
 SELECT vec_id, round(list_dot_product(a, b) / (coalesce(nullif(sqrt(list_dot_product(a, a)), 0), 1) * coalesce(nullif(sqrt(list_dot_product(b, b)), 0), 1)), 9) AS score FROM p ORDER BY list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) DESC, vec_id LIMIT 10""",
+    "dense_cosine_topk_all": """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, coalesce(nullif(sqrt(list_dot_product(v, v)), 0), 1) AS len FROM u),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.len * b.len), 12) AS s FROM n a, n b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p)
+SELECT query_id, vec_id, round(s, 9) AS score, rank FROM r WHERE rank <= 10""",
     "index_update_counts": """
 SELECT count(*) FILTER (WHERE source = 'src2') + 1 AS added, count(*) FILTER (WHERE source = 'src1') AS replaced, count(*) FILTER (WHERE source IN ('src2', 'src5')) AS removed,
        count(*) FILTER (WHERE source <> 'src5') + 1 AS total FROM documents""",

@@ -29,13 +29,16 @@ def merge_folds(partials: DataFrame) -> DataFrame:
     return folded.where(F.col("l").isNotNull() & live).select("node_id", F.when(F.col("l.hid_by") == L.PURGE, "purged").otherwise("deleted").alias("state"))
 
 
-def fold_stream(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
+def fold_stream(spark: SparkSession, path: str, kinds: dict[str, str], *, location: str | None = None) -> DataFrame:
     """The erasure fold over all that is in a folder of events now, through a stream.
 
+    ``location`` keeps the stream's checkpoint and partial folds: started again there, it reads only what
+    is new and the fold is that of all it ever read. Without one, it starts anew.
+
     Each micro-batch writes its partial fold under its batch id (a repeated batch overwrites itself);
     the state is the merge of the partials.
     """
-    at = shared_folder(spark)
+    at = (location or shared_folder(spark)).rstrip("/")
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit("source.seeded"))
     found = spark.read.parquet(path)
     reader = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 8)
@@ -62,8 +65,9 @@ def session_counts(stream: DataFrame, *, ts: str = "ts", key: str = "user_id", l
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def watch(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], *, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
-    """New files of a folder as (path, length, modificationTime, content), in micro-batches."""
+def watch(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], *, every: str = "30 seconds", once: bool = False, location: str | None = None) -> StreamingQuery:
+    """New files of a folder as (path, length, modificationTime, content), in micro-batches. With the same
+    ``location`` for its checkpoint a watch that starts again goes on where it stopped."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(path)
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", shared_folder(spark) + "/checkpoint")
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", (location or shared_folder(spark)).rstrip("/") + "/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
