@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm import kernels as K
-from kgspark.llm.common import fresh, materialize
+from kgspark.llm.common import bit_table, fresh, materialize
 
 #: Lines that occur more often than this in the corpus go wherever they stand.
 MAX_COUNT = 6
@@ -20,6 +20,8 @@ MAX_COUNT = 6
 SHARD_KEYS = 1 << 16
 #: Arrays of up to so many bytes are broadcast; beyond, each shard's probes are sent to it.
 MAX_BROADCAST_BYTES = 64 << 20
+#: Bits that tell frequent lines from others before they are sent.
+MAX_TABLE_BYTES = 64 << 20
 GAMMA = 1.5
 #: Parts that the probes of one shard are divided into when they are sent to it.
 SALTS = 8
@@ -176,7 +178,7 @@ def dedup_lines(docs: DataFrame, *, max_count: int = MAX_COUNT, shard_keys: int
                 yield _apply(batch, text, got, _too_many(got[4], arrays, n_shards, max_count) & got[5], schema.names)
 
         return docs.mapInArrow(probe, schema)
-    return _routed(docs, shards, n_shards, max_count, text, schema)
+    return _routed(docs, counts, shards, n_shards, max_count, text, schema)
 
 
 def _too_many(keys: np.ndarray, arrays: dict[int, Shard], n_shards: int, max_count: int) -> np.ndarray:
@@ -202,23 +204,40 @@ def _apply(batch: pa.RecordBatch, text: str, keys: tuple, drop: np.ndarray, name
     return pa.record_batch([*columns, pa.array(lost)], names)
 
 
-def _routed(docs: DataFrame, shards: DataFrame, n_shards: int, max_count: int, text: str, schema: T.StructType) -> DataFrame:
-    """The same when the arrays are too large to send everywhere: distinct keys of each document's
-    digest go to their shard, which answers with those that are too many."""
-    digest, bad = fresh(docs, "_digest", "_bad")
-    keyed = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+def _routed(docs: DataFrame, counts: DataFrame, shards: DataFrame, n_shards: int, max_count: int, text: str, schema: T.StructType) -> DataFrame:
+    """The same when the arrays are too large to send everywhere: probes go to their shard.
+
+    A bit table of the frequent keys, of bounded size, goes to all tasks. Documents none of whose lines
+    it knows pass as they are, without a shuffle; of the others only the known lines are probed. A probe
+    carries its document's digest (128 bits), and its shard answers with the lines that are too many.
+    """
+    d1, d2, bad, some = fresh(docs, "_d1", "_d2", "_bad", "_some")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(counts.where(F.col("n") > max_count).select("key"), MAX_TABLE_BYTES))
+    marked = T.StructType([*docs.schema.fields, T.StructField(some, T.BooleanType())])
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, text):
+            _, off, start, _, keys, full = line_keys(batch.column(text))
+            hit = full & shared.value.has(keys)
+            seen = np.bincount(np.searchsorted(off, start[hit], "right") - 1, minlength=batch.num_rows) > 0
+            yield pa.record_batch([*batch.columns, pa.array(seen)], marked.names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "t"):
-            _, off, start, _, keys, some = line_keys(batch.column("t"))
-            row = np.searchsorted(off, start[some], "right") - 1
-            yield pa.record_batch([pa.array(shard_of(keys[some], n_shards).astype(np.int32)), batch.column("d").take(pa.array(row)), pa.array(keys[some].view(np.int64))], ["shard", "d", "key"])
+            _, off, start, _, keys, full = line_keys(batch.column("t"))
+            hit = full & shared.value.has(keys)
+            row = pa.array(np.searchsorted(off, start[hit], "right") - 1)
+            yield pa.record_batch([pa.array(shard_of(keys[hit], n_shards).astype(np.int32)), batch.column("d1").take(row), batch.column("d2").take(row), pa.array(keys[hit].view(np.int64))], ["shard", "d1", "d2", "key"])
 
-    probes = keyed.select(F.col(digest).alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(emit, "shard int, d string, key long")
+    flagged = docs.mapInArrow(flag, marked)
+    clean = flagged.where(~F.col(some)).drop(some).withColumn(schema.names[-1], F.lit(0))
+    keyed = flagged.where(some).drop(some).withColumns({d1: F.xxhash64(text), d2: F.xxhash64(F.lit(1), text)})
+    probes = keyed.select(F.col(d1).alias("d1"), F.col(d2).alias("d2"), F.col(text).cast("string").alias("t")).mapInArrow(emit, "shard int, d1 long, d2 long, key long").distinct()
 
     blob = [c for c in SHARDS.names if c != "shard"]
-    asked = probes.withColumn("salt", F.pmod(F.hash("d"), F.lit(SALTS))).select("shard", "salt", F.lit(1).alias("kind"), "d", "key", *[F.lit(None).cast(SHARDS[c].dataType).alias(c) for c in blob])
-    held = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("d"), F.lit(None).cast("long").alias("key"), *blob)
+    empty = lambda kind: F.lit(None).cast(kind)
+    asked = probes.withColumn("salt", F.pmod("d1", F.lit(SALTS)).cast("int")).select("shard", "salt", F.lit(1).alias("kind"), "d1", "d2", "key", *[empty(SHARDS[c].dataType).alias(c) for c in blob])
+    held = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("shard", "salt", F.lit(0).alias("kind"), *[empty("long").alias(c) for c in ("d1", "d2", "key")], *blob)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays: dict[int, Shard] = {}
@@ -230,22 +249,23 @@ def _routed(docs: DataFrame, shards: DataFrame, n_shards: int, max_count: int, t
                     row = {c: batch.column(c)[lo].as_py() for c in SHARDS.names}
                     arrays, lo = {int(shard[lo]): load(row)}, lo + 1
                 if lo < hi:
-                    part = batch.slice(lo, hi - lo).select(["d", "key"])
+                    part = batch.slice(lo, hi - lo).select(["d1", "d2", "key"])
                     yield part.filter(pa.array(_too_many(part.column("key").to_numpy().view(np.uint64), arrays, n_shards, max_count)))
 
     # a shard comes before its probes; only one is held at a time, and a frequent line's probes are salted
-    found = held.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, "d string, key long")
-    per_text = found.groupBy("d").agg(F.collect_set("key").alias(bad)).withColumnRenamed("d", digest)
+    found = held.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, "d1 long, d2 long, key long")
+    per_text = found.groupBy(F.col("d1").alias(d1), F.col("d2").alias(d2)).agg(F.collect_set("key").alias(bad))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, text):
             got = line_keys(batch.column(text))
             row = np.searchsorted(got[1], got[2], "right") - 1
             drop = np.zeros(len(row), bool)
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for r, keys in enumerate(batch.column(bad).to_pylist()):
                 if keys:
-                    own = np.flatnonzero(row == r)
+                    own = slice(first[r], first[r + 1])
                     drop[own] = np.isin(got[4][own], np.array(keys, np.int64).view(np.uint64))
-            yield _apply(batch.select([f for f in batch.schema.names if f not in (digest, bad)]), text, got, drop & got[5], schema.names)
+            yield _apply(batch.select([f for f in batch.schema.names if f not in (d1, d2, bad)]), text, got, drop & got[5], schema.names)
 
-    return keyed.join(per_text, digest, "left").mapInArrow(run, schema)
+    return clean.unionByName(keyed.join(per_text, [d1, d2], "left").mapInArrow(run, schema))
