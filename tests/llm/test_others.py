@@ -220,9 +220,11 @@ def test_passages_equal_brute_force(spark, make_docs, rng):
     texts += [texts[0], "to " * 400, "to " * 200, shared[2] + " " + shared[2], None, ""]
     texts += [texts[21], "again " + shared[4] + " " + shared[4], "again " + shared[4] + " " + shared[4]]
     want = brute_passages([(i, t) for i, t in enumerate(texts) if t], 50)
-    for limit in (64 << 20, 0):
-        got = [tuple(r) for r in X.repeated_passages(make_docs(texts), max_broadcast_bytes=limit).collect()]
+    for limit, most in ((64 << 20, 50_000), (0, 50_000), (64 << 20, 3), (0, 0)):
+        got = [tuple(r) for r in X.repeated_passages(make_docs(texts), max_broadcast_bytes=limit, max_contexts=most).collect()]
         assert set(got) == want and len(got) == len(want)
+    named = make_docs(texts).selectExpr("'u/' || lpad(doc_id, 4, '0') as doc_id", "text")
+    assert {(int(r[0][2:]), *r[1:]) for r in map(tuple, X.repeated_passages(named).collect())} == want
 
 
 def test_a_window_has_one_original_when_each_anchor_is_alone(spark, make_docs, monkeypatch):
