@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.store import spread as spread_rows
+
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -49,7 +51,8 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out to all cores where it comes in one small file."""
+    return spread_rows(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
