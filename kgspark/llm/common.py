@@ -99,13 +99,14 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, per_class: int, te
 
 
 class BitTable:
-    """Bits by which most keys outside a set of 64-bit keys are known to be outside."""
+    """Bits by which most keys outside a set of 64-bit keys are known to be outside. A key's place is its
+    low bits: least hashes, as anchors are, have high bits of zero."""
 
-    def __init__(self, bits: np.ndarray, shift: int) -> None:
-        self.bits, self.shift = bits, np.uint64(shift)
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> self.shift).astype(np.int64)
+        at = (keys & self.mask).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -121,7 +122,7 @@ def bit_table(keys: DataFrame, max_bytes: int) -> BitTable:
     name = keys.columns[0]
     n = keys.count()
     size = min(max(BLOCK_BITS, (64 * max(1, n)).bit_length()), (8 * max_bytes).bit_length() - 1)
-    slots = keys.select(F.shiftrightunsigned(name, 64 - size).alias("slot"))
+    slots = keys.select(F.col(name).bitwiseAND(F.lit((1 << size) - 1)).alias("slot"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
@@ -139,4 +140,4 @@ def bit_table(keys: DataFrame, max_bytes: int) -> BitTable:
     for block, own in zip(packed.column("block").to_pylist(), packed.column("bits").to_pylist()):
         lo = block << (BLOCK_BITS - 3)
         bits[lo : lo + (1 << (BLOCK_BITS - 3))] = np.frombuffer(own, np.uint8)
-    return BitTable(bits, 64 - size)
+    return BitTable(bits)
