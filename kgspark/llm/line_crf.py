@@ -22,8 +22,6 @@ EPOCHS, RATE, RIDGE = 200, 0.25, 3e-5
 MIN_RECURRENCE = 3
 #: Documents that share so much of their words are copies of each other: their lines recur for that reason.
 MAX_LIKENESS = 0.5
-#: Log-odds from which a line of a rejected document is taken for content.
-SURE = float(np.log(3))
 #: Known lines are rare each, so their weights are held back less.
 LINE_RIDGE = 1e-5
 
@@ -253,18 +251,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLAS
     _, _, ptr, keys = lines(texts)
     gold, known = gold_labels(keys, ptr, quality, [np.unique(token[a:b]) for a, b in zip(w.ptr, w.ptr[1:])])
     features, *_ = lines(texts, known)
-    gold = opened(features, gold, np.repeat(quality, np.diff(ptr)), known)
     return Crf(known=known).fit(features, ptr, gold)
 
 
-def opened(features: np.ndarray, gold: np.ndarray, quality: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Labels in which the lines of rejected documents are open: those that look like content by
-    themselves, in a model of single lines, are content, and not an example of boilerplate."""
-    alone = Crf(known=known).fit(features, np.arange(len(features) + 1), gold)
-    score = alone.scores(features) + alone.first
-    return np.where((quality == 0) & (score[:, 1] - score[:, 0] > SURE), 1, gold)
-
-
 def judge(docs: DataFrame, model: Crf | None, *, min_share: float = MIN_CONTENT_SHARE, text: str = "text", reject: bool = False) -> DataFrame:
     """docs with ``n_lines``, ``n_content``, ``content_share`` and ``keep`` for each row.
 
