@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,22 +245,34 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLAS
     rows = labelled(docs, labels, "quality", per_class, text, key).toPandas().sort_values(["_k", "_t"], kind="stable", na_position="first")
     if rows["_y"].nunique() < 2:
         return None
-    rows = rows.drop_duplicates(["_t", "_y"])
-    texts, quality = pa.array(rows["_t"].tolist(), pa.string()), rows["_y"].to_numpy(np.int64)
-    w = K.split_words(texts)
-    token = w.hashes()
-    _, _, ptr, keys = lines(texts)
-    gold, known = gold_labels(keys, ptr, quality, [np.unique(token[a:b]) for a, b in zip(w.ptr, w.ptr[1:])])
-    features, *_ = lines(texts, known)
-    return Crf(known=known).fit(features, ptr, gold)
+    return fitted(rows.drop_duplicates(["_t", "_y"]))
+
+
+def fitted(rows: pd.DataFrame) -> Crf:
+    """A field fitted on texts (_t) and their quality (_y). Texts are read by slices: only lines and
+    distinct words are held of all of them."""
+    texts = pa.record_batch([pa.array(rows["_t"].tolist(), pa.string())], ["text"])
+    features, size, keys, words = [], [], [], []
+    for batch in K.slices([texts], "text"):
+        column = batch.column(0)
+        own, _, ptr, key = lines(column)
+        w = K.split_words(column)
+        token = w.hashes()
+        words += [np.unique(token[a:b]) for a, b in zip(w.ptr, w.ptr[1:])]
+        features.append(own), size.append(np.diff(ptr)), keys.append(key)
+    all_features, key, ptr = np.concatenate(features), np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(size))])
+    gold, known = gold_labels(key, ptr, rows["_y"].to_numpy(np.int64), words)
+    all_features[:, -1] = N_FEATURES + place(key, known)
+    return Crf(known=known).fit(all_features, ptr, gold)
 
 
 def judge(docs: DataFrame, model: Crf | None, *, min_share: float = MIN_CONTENT_SHARE, text: str = "text", reject: bool = False) -> DataFrame:
     """docs with ``n_lines``, ``n_content``, ``content_share`` and ``keep`` for each row.
 
     Lines end at line feeds; blank ones aren't labelled. Boilerplate is what looks like the lines of
-    rejected documents, or stands where such lines do, or recurred among the training documents. The share is of bytes in content lines among
-    those of all lines. With ``reject`` only rows that stay come back, with docs' columns alone.
+    rejected documents, or stands where such lines do, or recurred among the training documents. The
+    share is of bytes in content lines among those of all lines. With ``reject`` only rows that stay
+    come back, with docs' columns alone.
 
     Null, empty or blank text: no lines, share 0, rejected. One very long line is one label. Rows are
     judged each by itself, so repeated rows agree. Without a model every row that has a line stays.
