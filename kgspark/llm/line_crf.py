@@ -56,13 +56,16 @@ BINS = [
 ]
 WIDTHS = np.array([len(b) + 1 for b in BINS])
 BASES = np.concatenate([[0], np.cumsum(WIDTHS)[:-1]])
-N_FEATURES = int(WIDTHS.sum())
+#: After the binned features: no line beside it is a known one, or one is.
+BESIDE = int(WIDTHS.sum())
+N_FEATURES = BESIDE + 2
 
 
 def lines(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features (n, 12), bytes, row pointers and keys of the lines that are not blank.
+    """Features (n, 13), bytes, row pointers and keys of the lines that are not blank.
 
-    The last feature is the line itself, if it is among the ``known`` keys (sorted), else "unknown".
+    The last but one tells whether a line beside it is among the ``known`` keys (sorted), the last is
+    the line itself, if it is among them, else "unknown".
     """
     texts = texts.fill_null("")
     data, off = K.buffers(texts)
@@ -99,7 +102,20 @@ def lines(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray,
     lo, hi = K.stripped(data, start, end)
     key = K.span_hashes(word.data, lo[keep], hi[keep])
     columns = [np.searchsorted(b, x[keep], "right") + base for b, x, base in zip(BINS, raw, BASES)] if n else [np.zeros(0, np.int64)] * len(BINS)
-    return np.stack([*columns, N_FEATURES + place(key, known)], axis=1), size[keep], np.searchsorted(start[keep], off), key
+    ptr = np.searchsorted(start[keep], off)
+    return np.stack([*columns, *marks(key, ptr, known)], axis=1), size[keep], ptr, key
+
+
+def marks(key: np.ndarray, ptr: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The features that rest on known lines: is one beside it, and which is it. Without the first, a
+    line that good and rejected documents share would draw its neighbours to its own label."""
+    at = place(key, known)
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    beside = np.zeros(len(at), np.int64)
+    link = row[1:] == row[:-1]
+    beside[1:] |= (at[:-1] > 0) & link
+    beside[:-1] |= (at[1:] > 0) & link
+    return BESIDE + beside, N_FEATURES + at
 
 
 def place(keys: np.ndarray, known: np.ndarray | None) -> np.ndarray:
@@ -262,7 +278,7 @@ def fitted(rows: pd.DataFrame) -> Crf:
         features.append(own), size.append(np.diff(ptr)), keys.append(key)
     all_features, key, ptr = np.concatenate(features), np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(size))])
     gold, known = gold_labels(key, ptr, rows["_y"].to_numpy(np.int64), words)
-    all_features[:, -1] = N_FEATURES + place(key, known)
+    all_features[:, -2:] = np.stack(marks(key, ptr, known), axis=1)
     return Crf(known=known).fit(all_features, ptr, gold)
 
 
