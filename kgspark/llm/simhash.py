@@ -26,8 +26,9 @@ MIN_WORDS = 12
 #: Two of 12 blocks agree in any pair within 10 errors, so each pair meets in a trie of two blocks.
 N_BLOCKS = 12
 SPREAD = 3
-#: Node pairs of at most so many leaf pairs are compared at once.
-LEAF = 48
+#: Node pairs of at most so many leaf pairs are compared at once; those of more than a row's worth as a block.
+LEAF = 1 << 14
+BLOCK_PAIRS = 1 << 10
 
 
 def _blocks() -> list[tuple[int, int]]:
@@ -76,20 +77,32 @@ def _simhash(out: np.ndarray, row: np.ndarray, token: np.ndarray, weight: np.nda
         out[row[head[lo:hi]]] = np.packbits(2 * ones > total[:, None], axis=1).view(">u8").ravel()
 
 
-def trie_pairs(keys: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of one group whose keys differ in at most ``budget`` bits.
+def length_classes(words: np.ndarray) -> np.ndarray:
+    """A class for each number of words, such that numbers within MIN_LENGTH_RATIO are in one class or in neighbouring ones."""
+    cuts = [1]
+    while len(words) and cuts[-1] <= words.max():
+        cuts.append(int(cuts[-1] / MIN_LENGTH_RATIO) + 1)
+    return np.searchsorted(cuts, words, "right")
 
-    keys are sorted within each group, groups follow each other: a node of a group's binary trie is a
-    range of keys. All tries are walked together, level by level, as pairs of nodes with the bits in
-    which they differ so far; a pair goes once it has more errors than the budget.
+
+def trie_pairs(keys: np.ndarray, group: np.ndarray, budget: int, kind: np.ndarray | None = None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of one group whose keys differ in at most ``budget`` bits; with ``kind``, only those
+    whose kinds differ by 1 at most.
+
+    Groups follow each other, so do the kinds in a group, and the keys of a kind are sorted: a node of
+    its binary trie is a range of keys. All tries are walked together, level by level, as pairs of nodes
+    with the bits in which they differ so far; a pair goes once it has more errors than the budget.
     """
     n = len(keys)
-    head = np.flatnonzero(np.diff(group, prepend=-1)) if n else np.zeros(0, np.int64)
+    kind = np.zeros(n, np.int64) if kind is None else kind
+    head = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)) if n else np.zeros(0, np.int64)
     tail = np.append(head[1:], n) if n else head
-    a0, a1, b0, b1, err = head, tail, head, tail, np.zeros(len(head), np.int64)
+    by = np.flatnonzero((np.diff(group[head]) == 0) & (np.diff(kind[head]) == 1))
+    a0, a1, b0, b1 = (np.concatenate(x) for x in ((head, head[by]), (tail, tail[by]), (head, head[by + 1]), (tail, tail[by + 1])))
+    err = np.zeros(len(a0), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for level in range(65):
-        small = (a1 - a0) * (b1 - b0) <= LEAF if level < 64 else np.ones(len(a0), bool)
+        small = (a1 - a0) * (b1 - b0) <= leaf if level < 64 else np.ones(len(a0), bool)
         if small.any():
             found += _leaves(keys, *(x[small] for x in (a0, a1, b0, b1)), budget)
         rest = ~small
@@ -116,19 +129,31 @@ def trie_pairs(keys: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.nda
 
 def _leaves(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    size = (a1 - a0) * (b1 - b0)
-    total = np.cumsum(size)
-    cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], 1 << 21)), len(size)))
+    large = (a1 - a0) * (b1 - b0) > BLOCK_PAIRS
+    for lo, hi, first, after in zip(*(x[large].tolist() for x in (a0, a1, b0, b1))):
+        wide = after - first
+        step = max(1, (1 << 18) // wide)
+        for at in range(lo, hi, step):
+            near = np.bitwise_count(keys[at : min(hi, at + step), None] ^ keys[first:after]) <= budget
+            k = np.flatnonzero(near)
+            i, j = at + k // wide, first + k % wide
+            out.append((i[i < j], j[i < j]) if lo == first else (i, j))
+    a0, a1, b0, b1 = (x[~large] for x in (a0, a1, b0, b1))
+    # each key of the left node with a range of keys of the right one
+    size = a1 - a0
+    row = np.arange(size.sum()) + np.repeat(a0 - np.cumsum(size) + size, size)
+    last = np.repeat(b1, size)
+    first = np.where(np.repeat(a0 == b0, size), row + 1, np.repeat(b0, size))
+    wide = last - first
+    total = np.cumsum(wide)
+    cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, 1 << 20)), len(row)))
     for lo, hi in zip([0, *cuts], cuts):
         if hi <= lo:
             continue
-        s = size[lo:hi]
-        node = np.repeat(np.arange(lo, hi), s)
-        k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-        wide = (b1 - b0)[node]
-        i, j = a0[node] + k // wide, b0[node] + k % wide
-        near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-        out.append((i[near], j[near]))
+        w = wide[lo:hi]
+        j = np.arange(w.sum()) + np.repeat(first[lo:hi] - np.cumsum(w) + w, w)
+        k = np.flatnonzero(np.bitwise_count(np.repeat(keys[row[lo:hi]], w) ^ keys[j]) <= budget)
+        out.append((np.repeat(row[lo:hi], w)[k], j[k]))
     return out
 
 
@@ -172,7 +197,8 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, budget_pairs: int = BU
 
     Each sketch goes to the trie of each two of its 12 blocks, keyed by their bits: any pair within
     the budget of 10 agrees in two blocks at least, so no pair is missed. (A budget of 11 or more
-    would need fewer blocks and is refused.)
+    would need fewer blocks and is refused.) In a trie, sketches meet those of their own or a
+    neighbouring class of length only.
     """
     if budget > N_BLOCKS - 2:
         raise ValueError("pairs within this budget need not share two blocks")
@@ -189,14 +215,15 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, budget_pairs: int = BU
         ident = pa.concat_arrays(t.column("id").chunks)
         trie, sig, more, words = (t.column(c).to_numpy() for c in ("trie", "sig", "more", "words"))
         sig, more = sig.view(np.uint64), more.view(np.uint64)
-        order = np.lexsort((sig, trie))
-        trie, sig, more, words = (x[order] for x in (trie, sig, more, words))
+        kind = length_classes(words)
+        order = np.lexsort((sig, kind, trie))
+        trie, kind, sig, more, words = (x[order] for x in (trie, kind, sig, more, words))
         at = np.flatnonzero(np.diff(trie, prepend=-1))
         ends = np.append(at[1:], len(trie))
         rounds = np.cumsum(ends - at) // 200_000
         for r in np.unique(rounds):
             lo, hi = at[rounds == r][0], ends[rounds == r][-1]
-            i, j = trie_pairs(sig[lo:hi], trie[lo:hi], budget)
+            i, j = trie_pairs(sig[lo:hi], trie[lo:hi], budget, kind[lo:hi])
             near = alike(more[lo:hi][i], more[lo:hi][j], words[lo:hi][i], words[lo:hi][j], budget_pairs)
             i, j = i[near], j[near]
             if len(i):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -25,6 +27,39 @@ def test_trie_join_equals_all_pairs(budget):
     assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
 
 
+@pytest.mark.parametrize("leaf", [1, 48, S.LEAF])
+def test_trie_join_of_neighbouring_kinds(leaf):
+    r = np.random.default_rng(5)
+    keys = np.repeat(r.integers(0, 2**63, 40, dtype=np.uint64), 30) ^ (np.uint64(1) << r.integers(0, 64, 1200, dtype=np.uint64))
+    group, kind = r.integers(0, 2, 1200), r.integers(0, 6, 1200)
+    kind[(group == 0) & (kind == 3)] = 5  # kinds 2 and 4 of group 0 follow each other, but are no neighbours
+    order = np.lexsort((keys, kind, group))
+    keys, group, kind = keys[order], group[order], kind[order]
+    i, j = S.trie_pairs(keys, group, 10, kind, leaf)
+    near = np.bitwise_count(keys[:, None] ^ keys) <= 10
+    near &= (group[:, None] == group) & (np.abs(kind[:, None] - kind) <= 1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+    assert len(i) == len(want) > 1000 and set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_length_classes_part_no_lengths_of_a_kind():
+    n = np.arange(1, 3000)
+    c = S.length_classes(n)
+    for w in n.tolist():
+        most = n[w >= S.MIN_LENGTH_RATIO * n].max()
+        assert c[most - 1] - c[w - 1] <= 1
+    assert len(S.length_classes(n[:0])) == 0
+
+
+def test_large_tries_cost_little_a_pair():
+    # tries of a table of 6 GB hold thousands of keys, which no trie tells apart before its leaves
+    r = np.random.default_rng(6)
+    keys = np.sort(r.integers(0, 2**64, 12_000, dtype=np.uint64))
+    began = time.process_time()
+    S.trie_pairs(keys, np.zeros(len(keys), np.int64), 10)
+    assert time.process_time() - began < 1.2  # 72 million pairs; at 43 ns each it was 3 s
+
+
 def test_blocks_miss_no_pair_within_the_budget(spark):
     r = np.random.default_rng(4)
     sig = r.integers(0, 2**63, 400, dtype=np.uint64)
