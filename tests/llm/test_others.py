@@ -240,6 +240,26 @@ def test_a_window_has_one_original_when_each_anchor_is_alone(spark, make_docs, m
         assert set(got) == want and len(got) == len(want)
 
 
+def test_only_stretches_that_others_have_in_part_are_sorted(monkeypatch, rng):
+    line = prose(rng, 20).split()
+    texts = [prose(rng, 30).split() + line + prose(rng, 30).split() for _ in range(300)]  # the line, and else nothing
+    texts += [prose(rng, 25).split() + texts[k][5:] for k in range(20)]  # 75 words of one other text, which are the same in both
+    texts += [prose(rng, 10).split() + texts[30][10:], texts[30][:70] + prose(rng, 10).split()]  # parts of one text that overlap
+    number = {}
+    words = [X.packed(K.mix(np.array([number.setdefault(w, len(number)) for w in t], np.uint64))) for t in texts]
+    sorted_words = []
+    real = X.suffix_array
+    monkeypatch.setattr(X, "suffix_array", lambda text: sorted_words.append(len(text)) or real(text))
+    anchor, ident, pos = np.full(len(texts), 7), np.arange(len(texts))[::-1].copy(), np.full(len(texts), 3)
+    got = set()
+    for found in X.passages_of(anchor, ident, pos, words, np.array([ident[50]]), 50):
+        got |= {(d, k, first) for d, lo, hi, first in zip(*(x.tolist() for x in found)) for k in range(lo, hi)}
+    want = {(d, k, first) for d, a, z, first in brute_passages([(int(i), " ".join(t)) for i, t in zip(ident, texts)], 50) for k in range(a + 3, z - 50 + 5)}
+    own = {(int(ident[50]), k, True) for k in range(3, 3 + len(texts[50]) - 49)}  # a copied text repeats as a whole
+    assert got == want | own
+    assert sum(sorted_words) < 400  # all 25,000 were, before
+
+
 def test_passage_edges(spark, make_docs, rng):
     t = prose(rng, 80)
     docs = make_docs([(1, t), (None, t), (2, None), (3, "")])
