@@ -65,9 +65,16 @@ def publication(events: DataFrame, key: str, *, publish: str = PUBLISH, unpublis
     return last.where(F.col("t") == publish).select(key)
 
 
-def hide(docs: DataFrame, nodes: DataFrame, sources: DataFrame, *, doc_id: str = "doc_id", urn: str = "canonical_urn") -> DataFrame:
-    """docs without hidden nodes and without all of hidden sources."""
-    return docs.join(nodes.select(F.col("node_id").alias(doc_id)), doc_id, "left_anti").join(sources.select(urn), urn, "left_anti")
+def hide(docs: DataFrame, nodes: DataFrame, sources: DataFrame, *, doc_id: str = "doc_id", urn: str = "canonical_urn", by: tuple[str, ...] = ()) -> DataFrame:
+    """docs without hidden nodes and without all of hidden sources.
+
+    Ids may be short digests that nodes share by chance; columns of both, named in ``by``, tell such apart.
+    """
+    named = nodes.select(F.col("node_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in by])
+    meet = F.col(doc_id) == F.col("_id")
+    for c in by:
+        meet = meet & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return docs.join(named, meet, "left_anti").join(sources.select(urn), urn, "left_anti")
 
 
 def published_only(docs: DataFrame, nodes: DataFrame, sources: DataFrame, *, doc_id: str = "doc_id", urn: str = "canonical_urn") -> DataFrame:

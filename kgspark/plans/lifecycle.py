@@ -557,8 +557,8 @@ def search_docs(spark, sf):  # noqa: ANN001
     rows = c.select("*", F.col("source_urn").alias("canonical_urn"), F.col("lang").alias("domain"), F.lit("l").alias("library"))
     concepts = G.concept_rows(rows)
     docs = T.docs_from_kg(rows, concepts)
-    nodes = rows.where("lang = 'fr'").select(F.concat(F.lit("claim:"), "item_id").alias("node_id"))
-    return L.hide(docs, nodes, spark.createDataFrame([("src2",)], "canonical_urn string")).groupBy("type", "domain").agg(F.count(F.lit(1)).alias("n"))
+    nodes = rows.where("lang = 'fr'").select(F.concat(F.lit("claim:"), "item_id").alias("node_id"), "canonical_urn", "domain")
+    return L.hide(docs, nodes, spark.createDataFrame([("src2",)], "canonical_urn string"), by=("canonical_urn", "domain")).groupBy("type", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 def capture_acquire(spark, sf):  # noqa: ANN001

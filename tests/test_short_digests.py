@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.operators import graph as G
+from kgspark.operators import lifecycle as L
 
 CLAIM = "item_id string, source_urn string, concept_id string, text string"
 
@@ -27,3 +28,12 @@ def test_nodes_that_share_an_id_stay(spark):
     c = shared(spark).unionByName(shared(spark))
     rows = [tuple(r) for r in G.payload_nodes(c, c.select("concept_id", F.col("concept_id").alias("label")), c.select("source_urn").distinct()).collect()]
     assert len(rows) == len(set(rows)) and {r for r in rows if r[1] == "claim"} == {("item-1", "claim", "t" * 79 + "…"), ("item-1", "claim", "other"), ("item-2", "claim", "t")}
+
+
+def test_nodes_are_hidden_with_their_source(spark):
+    docs = spark.createDataFrame([("claim:1", "a", "de"), ("claim:1", "a", "fr"), ("claim:1", None, "fr"), ("claim:2", "a", "fr"), ("claim:3", "gone", "de")], "doc_id string, canonical_urn string, domain string")
+    gone = spark.createDataFrame([("claim:1", "a", "fr")], "node_id string, canonical_urn string, domain string")
+    sources = spark.createDataFrame([("gone",)], "canonical_urn string")
+    left = L.hide(docs, gone, sources, by=("canonical_urn", "domain"))
+    assert sorted(map(tuple, left.select(docs.columns).collect()), key=str) == [("claim:1", "a", "de"), ("claim:1", None, "fr"), ("claim:2", "a", "fr")]
+    assert [tuple(r) for r in L.hide(docs, gone, sources).select(docs.columns).collect()] == [("claim:2", "a", "fr")]
