@@ -163,7 +163,8 @@ def record_envelopes(rows: DataFrame, *, identity: bool = False) -> DataFrame:
     """Envelopes of runtime records (id, record as JSON, summary, body, facets as JSON, dimension, actor,
     version, observed_at, captures): one node each, which carries the whole record.
 
-    By content: a changed record is another node. By identity (a version is needed, rows without one are
+    Rows are one envelope if all that their key is made of is equal; the key itself is a short digest, which
+    others may share by chance. By content: a changed record is another node. By identity (a version is needed, rows without one are
     an error): one node for each id, whose versions are transactions of their own; readers take the latest.
     """
     if identity:
@@ -177,10 +178,11 @@ def record_envelopes(rows: DataFrame, *, identity: bool = False) -> DataFrame:
     source = F.concat(F.lit("runtime:"), X.slug(F.col("actor")))
     named = {"name": ident, "statement": F.coalesce(F.nullif(text, F.lit("")), ident), "kind": F.lit("runtime-record"), "grounding": F.lit("runtime"), "actor": F.col("actor"), "record": F.col("record")} | ({VERSION: F.col("version")} if identity else {})
     node = F.struct(node_id.alias("node_id"), F.lit("record").alias("node_type"), F.create_map(F.col("dimension"), ident).alias("dimensions"), F.create_map(*[x for n, c in named.items() for x in (F.lit(n), c)]).alias("properties"))
-    return rows.select(
+    once = rows.withColumn("_seal", F.sha2(seal, 256)).dropDuplicates(["_seal"])
+    return once.select(
         key.alias("idempotency_key"), source.alias("source_id"), F.sha2(F.concat(F.lit("source:"), source), 256).alias("content_digest"), F.array("dimension").alias("axes"),
         evidence_entries(F.col("actor"), key, F.col("observed_at"), F.col("captures")).alias("evidence"), F.array(node).alias("nodes"), F.array().cast(f"array<{RELATION}>").alias("relations"),
-    ).dropDuplicates(["idempotency_key"])
+    )
 
 
 def fact_ids(subject: Column, obj: Column) -> Column:

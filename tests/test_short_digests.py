@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import graph as G
 from kgspark.operators import lifecycle as L
+from kgspark.operators import records as R
 
 CLAIM = "item_id string, source_urn string, concept_id string, text string"
 
@@ -37,3 +38,15 @@ def test_nodes_are_hidden_with_their_source(spark):
     left = L.hide(docs, gone, sources, by=("canonical_urn", "domain"))
     assert sorted(map(tuple, left.select(docs.columns).collect()), key=str) == [("claim:1", "a", "de"), ("claim:1", None, "fr"), ("claim:2", "a", "fr")]
     assert [tuple(r) for r in L.hide(docs, gone, sources).select(docs.columns).collect()] == [("claim:2", "a", "fr")]
+
+
+def test_records_whose_keys_are_equal_by_chance_stay(spark, monkeypatch):
+    """Every short digest is made one and the same."""
+    part = F.substring
+    monkeypatch.setattr(R.F, "substring", lambda c, at, n: F.lit("0" * 10) if [str(at), str(n)] == ["1", "10"] else part(c, at, n))
+    rows = [(f"user {i}", f'{{"u":{i}}}', "s", "", "{}", "causal", "bot", v, "", None) for i in range(3) for v in ("1", "2", "2")]
+    d = spark.createDataFrame(rows, "id string, record string, summary string, body string, facets string, dimension string, actor string, version string, observed_at string, captures array<struct<kind:string,content:string,locator:string>>")
+    e = R.record_envelopes(d, identity=True)
+    assert e.count() == 6 and e.select("idempotency_key").distinct().count() == 1
+    assert {(r["node_id"], r["properties"]["_version"]) for r in R.current(e).collect()} == {(f"record:user-{i}", "2") for i in range(3)}
+    assert {r["node_id"] for r in R.nodes(R.record_envelopes(d)).collect()} == {f"record:user-{i}:{'0' * 10}" for i in range(3)}
