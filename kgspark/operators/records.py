@@ -203,14 +203,29 @@ def inference_path(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("path") > 1).select("path_id", F.posexplode(steps).alias("n", "s")).select("path_id", "n", "s.*")
 
 
+def _depth(json: Column) -> Column:
+    """How deep objects and arrays of a JSON text are nested: brackets outside of its strings."""
+    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    count = lambda c, at: F.when(c.isin("{", "["), at + 1).otherwise(at - 1)
+    walked = F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")), lambda s, c: X.bind(count(c, s["at"]), lambda at: F.struct(at.alias("at"), F.greatest(s["top"], at).alias("top"))))
+    return walked["top"]
+
+
 def structure(rows: DataFrame, *, key: str = "doc_id", json: str = "json") -> DataFrame:
-    """(key, path, value): every leaf of a JSON document by its path."""
-    v = rows.select(key, F.parse_json(json).alias("v"))
-    v.createOrReplaceTempView("_kgspark_variant")
-    return rows.sparkSession.sql(f"""
-        WITH RECURSIVE walk AS (
-          SELECT `{key}`, '$' AS path, v AS value FROM _kgspark_variant
-          UNION ALL
-          SELECT w.`{key}`, concat(w.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))), e.value FROM walk w, LATERAL variant_explode(w.value) e
-        ) SELECT `{key}`, path, cast(value AS string) AS value FROM walk
-        WHERE schema_of_variant(value) NOT LIKE 'OBJECT%' AND schema_of_variant(value) NOT LIKE 'ARRAY%'""")
+    """(key, path, value): every leaf of a JSON document by its path.
+
+    Each level of nesting is one step of a plan over all rows, so neither rows nor depth are limited by
+    a recursion; levels are written down every ten steps. How many there are is an aggregate over the texts.
+    """
+    depth = rows.agg(F.max(_depth(F.col(json)))).first()[0] or 0
+    v = rows.select(F.col(key).alias("_key"), F.lit("$").alias("path"), F.parse_json(json).alias("v"))
+    for level in range(depth):
+        # a leaf stays as it is; a container gives way to what it holds, an empty one to nothing
+        inner = v.sparkSession.sql("SELECT r._key, r.path, r.v, e.pos, e.key, e.value FROM {rows} r, LATERAL variant_explode_outer(r.v) e", rows=v)
+        held = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+        step = F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.concat(F.lit("["), "pos", F.lit("]"))))
+        v = inner.where(F.coalesce(~held, F.lit(True)) | F.col("pos").isNotNull()).select("_key", F.when(held, step).otherwise(F.col("path")).alias("path"), F.when(held, F.col("value")).otherwise(F.col("v")).alias("v"))
+        if level % 10 == 9:
+            v = cut(v)
+    leaf = ~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    return v.where(leaf).select(F.col("_key").alias(key), "path", F.col("v").cast("string").alias("value"))
