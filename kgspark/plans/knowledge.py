@@ -197,10 +197,9 @@ def models_for_source(spark, sf):  # noqa: ANN001
 
 
 def sources_for_model(spark, sf):  # noqa: ANN001
-    """Concepts of 15 sources or more with their number; sources_for_model_all has the sources, of every concept."""
+    """Every concept with the number of its sources; sources_for_model_all has the sources themselves."""
     c = coordinates_once(spark, sf)
-    n = G.models_for_source(c, C.edges(c)).groupBy("concept_id").agg(F.countDistinct("source_urn").alias("n_sources"))
-    return n.where("n_sources >= 15")
+    return G.models_for_source(c, C.edges(c)).groupBy("concept_id").agg(F.countDistinct("source_urn").alias("n_sources"))
 
 
 def sources_for_model_all(spark, sf):  # noqa: ANN001
@@ -356,7 +355,7 @@ SELECT concept_id, coalesce(nullif(trim(replace(coalesce(nullif({_MODE.format(c=
     "eval_prf1": "WITH f AS (SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE len(string_split(text, chr(10))) >= 6), g AS (SELECT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) FILTER (WHERE f.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.doc_id IS NULL) AS fp, count(*) FILTER (WHERE f.doc_id IS NULL) AS fn FROM f FULL JOIN g USING (doc_id)), r AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS q FROM n) SELECT tp, fp, fn, round(p, 9) AS precision, round(q, 9) AS recall, round(2 * p * q / (p + q), 9) AS f1 FROM r",
     "concept_audit": _N + f", s AS (SELECT DISTINCT surface AS c FROM named WHERE surface <> ''), t AS (SELECT c, array_to_string(list_filter(list_transform(string_split(c, '-'), lambda w: {_STEM}), lambda x: x <> ''), '-') AS norm FROM s) SELECT norm, count(*) AS n, string_agg(c, ',' ORDER BY c) AS ids FROM t GROUP BY 1 HAVING count(*) > 1",
     "models_for_source": _N + "SELECT DISTINCT source_urn, concept_id FROM named WHERE source_urn = 'src7'",
-    "sources_for_model": _N + "SELECT concept_id, count(DISTINCT source_urn) AS n_sources FROM named GROUP BY 1 HAVING count(DISTINCT source_urn) >= 15",
+    "sources_for_model": _N + "SELECT concept_id, count(DISTINCT source_urn) AS n_sources FROM named GROUP BY 1",
     "orphan_claims": _C + "SELECT item_id, source_urn FROM claims WHERE source_urn = 'src3'",
     "orphan_edges": _N + f", d AS (SELECT DISTINCT concept_id FROM named WHERE polarity = 'D'), c AS (SELECT DISTINCT item_id FROM claims WHERE lang <> 'fr'), e AS (SELECT {_EDGE} AS edge_id, item_id, concept_id FROM named) SELECT edge_id, 'src_id' AS endpoint, item_id AS value FROM e WHERE item_id NOT IN (SELECT item_id FROM c) UNION ALL SELECT edge_id, 'dst_id', concept_id FROM e WHERE concept_id NOT IN (SELECT concept_id FROM d)",
     "edge_contract_violations": _C + "SELECT 'semantic_role required' AS violation, count(*) AS n FROM claims WHERE source_urn = 'src1' UNION ALL SELECT 'type invalid for family', count(*) FROM claims WHERE source_urn = 'src2'",
