@@ -86,9 +86,8 @@ def sidecar_matches(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     file's name; else the first of whose title's words of five letters and more a third, and two at
     least, stand in the name.
 
-    Tokens meet in an equi-join of tokens of both sides. Words may stand within a name's words, so they
-    are looked for in it: a word meets a name by its first five letters, which are among the name's
-    five-letter pieces, and the word itself decides.
+    Tokens meet in an equi-join of tokens of both sides. Words may stand within a name's words, so all
+    pieces of a name that are as long as some word meet the words themselves: only true hits are joined.
     """
     low = lambda c: F.lower(X.fully_unquoted(c))
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(IDENTIFIER_TOKEN), F.lit(0)))
@@ -101,9 +100,13 @@ def sidecar_matches(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     by_token = a.join(b, "w").select("name", F.lit(0).alias("rung"), "ord", "canonical_urn")
     words = F.filter(F.split(F.lower(X.text("title")), "[^a-z0-9]+"), lambda w: F.length(w) > 4)
     titled = sidecars.select("ord", "canonical_urn", words.alias("ws")).where(F.size("ws") > 0)
-    heads = titled.select("ord", "canonical_urn", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word")).withColumn("h", F.substring("word", 1, 5))
-    spots = names.select("name", "low", F.explode(F.array_distinct(pieces(F.col("low"), 5))).alias("h"))
-    hits = spots.join(heads, "h").where(F.contains("low", F.col("word"))).groupBy("name", "ord", "canonical_urn", "n").agg(F.countDistinct("pos").alias("k"))
+    heads = titled.select("ord", "canonical_urn", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word"))
+    longest = names.agg(F.max(F.length("low"))).first()[0] or 0
+    sizes = sorted(r[0] for r in heads.select(F.length("word").alias("n")).where(F.col("n") <= longest).distinct().collect())
+    runs = F.filter(F.split("low", "[^a-z0-9]+"), lambda w: F.length(w) > 4)
+    cuts = F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.flatten(F.transform(runs, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n)))))
+    spots = names.select("name", F.explode(F.array_distinct(F.flatten(cuts))).alias("word"))
+    hits = spots.join(heads, "word").groupBy("name", "ord", "canonical_urn", "n").agg(F.countDistinct("pos").alias("k"))
     by_title = hits.where(F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") / 3))).select("name", F.lit(1).alias("rung"), "ord", "canonical_urn")
     best = by_token.unionByName(by_title).groupBy("name").agg(F.min(F.struct("rung", "ord", "canonical_urn")).alias("f"))
     return best.select("name", F.col("f.canonical_urn").alias("canonical_urn"))

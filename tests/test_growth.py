@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark import catalogue
+from kgspark.operators import identity as I
 from kgspark.plans.base import coordinates
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +22,24 @@ def test_concepts_of_few_sources_are_counted(spark):
         want.setdefault(r["concept_id"], set()).add(r["source_urn"])
     got = {r["concept_id"]: r["n_sources"] for r in catalogue.queries()["sources_for_model"](spark, SF).collect()}
     assert got == {c: len(s) for c, s in want.items()} and min(got.values()) == 1
+
+
+def test_words_of_titles_meet_names_by_whole_words(spark):
+    """A thousand titles whose words begin alike: no more rows are joined than words stand in names."""
+    side = spark.range(1000).selectExpr("id AS ord", "concat('urn:y:', id) AS canonical_urn", "concat('alpha', id, 'x bravo', id, 'x charlie delta echoes foxes') AS title")
+    files = spark.range(1000).selectExpr("concat('the_alpha', id, 'x-bravo', id, 'xAndMore.pdf') AS name")
+    got = I.sidecar_matches(files, side)
+    assert {(r["name"], r["canonical_urn"]) for r in got.collect()} == {(f"the_alpha{i}x-bravo{i}xAndMore.pdf", f"urn:y:{i}") for i in range(1000)}
+    assert "word" in {a.name() for a in _join_keys(got)}
+
+
+def _join_keys(df):
+    plan, keys = [df._jdf.queryExecution().optimizedPlan()], []
+    while plan:
+        node = plan.pop()
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Join":
+            refs = node.condition().get().references().toSeq()
+            keys += [refs.apply(i) for i in range(refs.size())]
+    return keys
