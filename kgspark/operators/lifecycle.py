@@ -7,25 +7,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as X
+from kgspark.store import cut
 
 DELETE, RESTORE, PURGE = "node.deleted", "node.restored", "node.purged"
 SOURCE_DELETE, SOURCE_PURGE = "source.deleted", "source.purged"
 PUBLISH, UNPUBLISH = "node.published", "node.unpublished"
 SOURCE_PUBLISH, SOURCE_UNPUBLISH = "source.published", "source.unpublished"
 CHANGES = ("source.upserted", "source.removed")
+#: Rows that one task numbers.
+RANGE = 500_000
 
 
 def append(events: DataFrame, new: DataFrame, *, observed_at: str) -> DataFrame:
     """Rows for new (event_type, object_type, object_id, payload, ord) that continue the log: numbered
     on from its last sequence, each chained to its object's last digest.
 
-    The log's one writer numbers one batch; only the batch is ordered, not the log.
+    The log's one writer numbers one batch; only the batch is ordered, not the log. It is dealt out by
+    ranges of ``ord``, of at most about RANGE rows, written once; a range's numbers follow those before it.
     """
+    cores = new.sparkSession.sparkContext.defaultParallelism
+    new = cut(new.repartitionByRange(int(max(cores, new.count() // RANGE + 1)), "ord").withColumn("_range", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in sorted(new.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_range"]):
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    new = new.join(F.broadcast(new.sparkSession.createDataFrame(offsets, "_range int, _before long")), "_range")
     last = events.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("base"))
     tip = events.groupBy("object_id").agg(F.max_by("new_digest", "sequence").alias("tip"))
     digest = F.sha2(X.text("payload"), 256)
     by = W.partitionBy("object_id").orderBy("ord")
-    rows = new.crossJoin(F.broadcast(last)).withColumn("sequence", F.col("base") + F.row_number().over(W.orderBy("ord"))).withColumn("new_digest", digest)
+    rows = new.crossJoin(F.broadcast(last)).withColumn("sequence", F.col("base") + F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy("ord"))).withColumn("new_digest", digest)
     rows = rows.join(tip, "object_id", "left").withColumn("prior_digest", F.coalesce(F.lag("new_digest").over(by), "tip", F.lit("")))
     at = F.lit(observed_at)
     eid = F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in ("sequence", "event_type", "object_type", "object_id", "prior_digest", "new_digest")], at)), 256)

@@ -11,6 +11,7 @@ from kgspark.operators import nd as N
 from kgspark.operators import records as R
 from kgspark.operators.graph import latest
 from kgspark.plans.base import table
+from kgspark.store import cut
 
 LATEST = 2030
 KINDS = {"view": "source.seeded", "click": L.DELETE, "error": L.PURGE, "signup": L.RESTORE, "purchase": "source.upserted"}
@@ -45,7 +46,7 @@ def events_chain_check(spark, sf):  # noqa: ANN001
     e = _events(spark, sf)
     empty = spark.createDataFrame([], "sequence long, object_id string, new_digest string")
     new = e.select("event_type", F.lit("user").alias("object_type"), "object_id", "payload", F.col("sequence").alias("ord"))
-    log = L.append(empty, new, observed_at="2024-01-01T00:00:00Z")
+    log = cut(L.append(empty, new, observed_at="2024-01-01T00:00:00Z"))
     bad = log.where("sequence <> 100").withColumn("payload", F.when(F.col("sequence") == 200, F.lit("altered")).otherwise(F.col("payload")))
     return L.chain_violations(log).groupBy("violation").agg(F.count(F.lit(1)).alias("n")).withColumn("log", F.lit("good")).unionByName(L.chain_violations(bad).groupBy("violation").agg(F.count(F.lit(1)).alias("n")).withColumn("log", F.lit("bad")))
 

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from kgspark import catalogue
 from kgspark.operators import identity as I
+from kgspark.operators import lifecycle as L
 from kgspark.plans.base import coordinates
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
-@needs_tables
-def test_concepts_of_few_sources_are_counted(spark):
-    want = {}
-    for r in coordinates(spark, SF).collect():
-        want.setdefault(r["concept_id"], set()).add(r["source_urn"])
-    got = {r["concept_id"]: r["n_sources"] for r in catalogue.queries()["sources_for_model"](spark, SF).collect()}
-    assert got == {c: len(s) for c, s in want.items()} and min(got.values()) == 1
+def test_a_batch_is_numbered_by_many_tasks(spark):
+    old = spark.createDataFrame([(7, "o1", "tip")], "sequence long, object_id string, new_digest string")
+    new = spark.range(1000).select(F.lit("t").alias("event_type"), F.lit("user").alias("object_type"), F.concat(F.lit("o"), F.col("id") % 3).alias("object_id"), F.col("id").cast("string").alias("payload"), (-F.col("id")).alias("ord"))
+    log = L.append(old, new, observed_at="now")
+    rows = {r["sequence"]: r for r in log.collect()}
+    assert [rows[s]["payload"] for s in range(8, 1008)] == [str(i) for i in range(999, -1, -1)]
+    assert rows[8]["prior_digest"] == "" and rows[9]["prior_digest"] == "" and rows[10]["prior_digest"] == "tip" and rows[11]["prior_digest"] == rows[8]["new_digest"]
+    assert "windowspecdefinition(ord" not in log._jdf.queryExecution().optimizedPlan().toString()
+    assert L.append(old, new.limit(0), observed_at="now").count() == 0
 
 
 def test_words_of_titles_meet_names_by_whole_words(spark):
@@ -43,3 +46,12 @@ def _join_keys(df):
             refs = node.condition().get().references().toSeq()
             keys += [refs.apply(i) for i in range(refs.size())]
     return keys
+
+
+@needs_tables
+def test_concepts_of_few_sources_are_counted(spark):
+    want = {}
+    for r in coordinates(spark, SF).collect():
+        want.setdefault(r["concept_id"], set()).add(r["source_urn"])
+    got = {r["concept_id"]: r["n_sources"] for r in catalogue.queries()["sources_for_model"](spark, SF).collect()}
+    assert got == {c: len(s) for c, s in want.items()} and min(got.values()) == 1
