@@ -126,6 +126,8 @@ QUOTED = "[‘'\"“„«‹]([^’'\"”“»›]{2,60})[’'\"”“»›]"
 CAPS = r"(?<![\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_-]*(?:\s+[A-ZÄÖÜ][\p{L}\p{N}_-]*){1,3})"
 CONTENT = r"\p{L}{4,}"
 TERM = "struct<term:string,quoted:boolean>"
+#: What every match of the two holds; short searches that turn nearly all texts away.
+MAY_QUOTE, MAY_CAPS = "[‘'\"“„«‹]", r"\s[A-ZÄÖÜ]"
 
 
 def is_glob(c: Column) -> Column:
@@ -155,9 +157,9 @@ def key_term(c: Column) -> Column:
     """A claim's subject: the first quoted term, else the longest capitalised phrase, else the longest
     word that is no function word; "" if there is none."""
     words = profiles.CANON_WORDS
-    quoted = slug(strip_edges(F.regexp_extract(text(c), QUOTED, 1), words))
+    quoted = F.when(text(c).rlike(MAY_QUOTE), slug(strip_edges(F.regexp_extract(text(c), QUOTED, 1), words))).otherwise(F.lit(""))
     phrases = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(CAPS), F.lit(1)), lambda x: strip_edges(x, words)), lambda x: F.instr(x, " ") > 0)
-    caps = slug(longest(phrases, descending_ties=True))
+    caps = F.when(text(c).rlike(MAY_CAPS), slug(longest(phrases, descending_ties=True))).otherwise(F.lit(""))
     token = slug(longest(F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit(CONTENT), F.lit(0)), lambda x: ~is_in(x, words))))
     usable = lambda x: bind(x, lambda v: F.when((v != "") & ~is_in(v, words), v))
     return F.coalesce(usable(quoted), usable(caps), token, F.lit(""))

@@ -55,3 +55,13 @@ def test_concepts_of_few_sources_are_counted(spark):
         want.setdefault(r["concept_id"], set()).add(r["source_urn"])
     got = {r["concept_id"]: r["n_sources"] for r in catalogue.queries()["sources_for_model"](spark, SF).collect()}
     assert got == {c: len(s) for c, s in want.items()} and min(got.values()) == 1
+
+
+def test_texts_without_capitals_or_quotes_are_turned_away(spark):
+    from kgspark.functions import text as X
+
+    texts = ["plain words of nothing", "the Market Order\tAct is", "Den „Größe of Daten“ nennt", "a\n\nÄrger Amt", "x Öl", "", None, "it's a ‹thing›"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["k"] for r in rows.orderBy("i").select(X.key_term(F.col("t")).alias("k")).collect()]
+    assert got == ["nothing", "market-order-act", "gr-e-of-daten", "rger-amt", "x-l", "", "", "thing"]
+    assert "\\s[A-ZÄÖÜ]" in rows.select(X.key_term(F.col("t")))._jdf.queryExecution().analyzed().toString()
