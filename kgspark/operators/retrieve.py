@@ -198,15 +198,22 @@ def docs_from_kg(claims: DataFrame, concepts: DataFrame | None = None) -> DataFr
     )
 
 
+#: The largest block of vectors, and how many of it ask at a time.
+BLOCK_ROWS, AT_ONCE = 16384, 256
+
+
 def nearest_vectors(vectors: DataFrame, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors nearest to every vector by cosine, itself included.
 
-    Exact: every block of rows meets every block, each pair in one task that keeps k for each query.
+    Exact: every block of rows meets every block, each pair in one task that keeps k for each query, some
+    queries at a time. Each row travels to as many tasks as there are blocks, so blocks grow with the rows,
+    from ``block_rows`` to BLOCK_ROWS.
     A zero vector's norm counts as 1. Scores equal in 12 digits are ties; they fall to the least key.
     Null keys and vectors take no part; keys are unique and vectors of one length.
     """
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    blocks = max(1, -(-n // min(max(block_rows, BLOCK_ROWS), max(block_rows, n // 8))))
     placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def unit(v: pd.Series) -> np.ndarray:
@@ -217,15 +224,18 @@ def nearest_vectors(vectors: DataFrame, *, k: int = 10, key: str = "vec_id", vec
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        score = np.round(unit(q["v"]) @ unit(c["v"]).T, 12)
+        ids, whole, asked, parts = c["id"].to_numpy(), unit(c["v"]).T, q["id"].to_numpy(), []
         top = min(k, len(c))
-        least = np.partition(score, -top, axis=1)[:, -top]
-        row, col = np.nonzero(score >= least[:, None])
-        ids, got = c["id"].to_numpy(), score[row, col]
-        order = np.lexsort((ids[col], -got, row))
-        row, col, got = row[order], col[order], got[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[row[keep]], "vec_id": ids[col[keep]], "score": got[keep]})
+        for lo in range(0, len(q), AT_ONCE):
+            score = np.round(unit(q["v"].iloc[lo : lo + AT_ONCE]) @ whole, 12)
+            least = np.partition(score, -top, axis=1)[:, -top]
+            row, col = np.nonzero(score >= least[:, None])
+            got = score[row, col]
+            order = np.lexsort((ids[col], -got, row))
+            row, col, got = row[order], col[order], got[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            parts.append(pd.DataFrame({"query_id": asked[lo + row[keep]], "vec_id": ids[col[keep]], "score": got[keep]}))
+        return pd.concat(parts)
 
     asked = placed.select("id", "v", F.col("own").alias("a"), F.col("other").alias("b")).groupBy("a", "b")
     held = placed.select("id", "v", F.col("other").alias("a"), F.col("own").alias("b")).groupBy("a", "b")
