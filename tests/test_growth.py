@@ -65,3 +65,11 @@ def test_texts_without_capitals_or_quotes_are_turned_away(spark):
     got = [r["k"] for r in rows.orderBy("i").select(X.key_term(F.col("t")).alias("k")).collect()]
     assert got == ["nothing", "market-order-act", "gr-e-of-daten", "rger-amt", "x-l", "", "", "thing"]
     assert "\\s[A-ZÄÖÜ]" in rows.select(X.key_term(F.col("t")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_blocks_of_vectors_grow_with_the_rows(spark):
+    """A hundred rows in blocks of two at least: nine blocks, not fifty."""
+    from kgspark.operators import retrieve as T
+
+    rows = spark.range(100).selectExpr("id AS vec_id", "array(float(id), float(1)) AS embedding")
+    assert "sequence(0, 8," in T.nearest_vectors(rows, block_rows=2)._jdf.queryExecution().analyzed().toString()
